@@ -38,12 +38,22 @@ class MatchConfig:
     blocking_version: str = "merchant-rail-currency-amount-date-v1"
     policy_version: str = "evidence-only-ai-review-v1"
 
+    @property
+    def half_up_costs(self) -> tuple[int, ...]:
+        """Costs that lie halfway between two hundredths and round up.
+
+        Which way a half goes is decided by the double nearest to
+        1 - cost / 30, as a plain round() of it to two places does.
+        """
+        scale = self.cost_scale_cents
+        halves = range(scale // 200, (100 - self.floor_pct) * scale // 100, scale // 100)
+        return tuple(c for c in halves if round(100 * round(1 - (c / 100) / (scale / 100), 2)) * scale > 100 * (scale - c))
+
     @property
     def fuzzy_cost_cut(self) -> int:
         """Largest cost whose rounded confidence still reaches the gate."""
-        scale = self.cost_scale_cents
-        # A tie between two hundredths rounds down, so the half step is excluded.
-        return (100 - self.auto_accept_pct) * scale // 100 + scale // 200 - 1
+        half = (100 - self.auto_accept_pct) * self.cost_scale_cents // 100 + self.cost_scale_cents // 200
+        return half if half in self.half_up_costs else half - 1
 
     @property
     def raw_cost_cut(self) -> int:

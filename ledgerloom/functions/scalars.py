@@ -135,10 +135,10 @@ def cost_cents(amount_diff, day_diff, cfg: MatchConfig = DEFAULT) -> Column:
 
 
 def confidence_pct(cost, cfg: MatchConfig = DEFAULT) -> Column:
-    """Confidence in hundredths; an exact half rounds down, so the gate and the
-    cost cut agree."""
+    """Confidence in hundredths, never below the floor."""
     scale = cfg.cost_scale_cents
-    rounded = F.ceil((F.lit(scale - scale // 200) - _c(cost)) / (scale // 100))
+    cost = _c(cost)
+    rounded = F.ceil((F.lit(scale - scale // 200) - cost) / (scale // 100)) + cost.isin(*cfg.half_up_costs).cast("int")
     return F.greatest(F.lit(cfg.floor_pct).cast("bigint"), rounded.cast("bigint"))
 
 

@@ -21,14 +21,18 @@ def cells(rows: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: st
     return rows.groupBy(*keys).agg(F.min(id_col).alias(cell), F.count(F.lit(1)).alias(size))
 
 
-def members(rows: DataFrame, cell_rows: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: str) -> DataFrame:
-    """(cell, rank, id) for every cell of more than one row.
+def members(
+    rows: DataFrame, cell_rows: DataFrame, used: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: str,
+) -> DataFrame:
+    """(cell, rank, id) for every cell of more than one row named in ``used``.
 
     Ranks come from a range partitioning on (cell, id): a rank is the row
     number in its own range plus the sizes of the ranges before it, so a hot
     cell is sorted by many tasks instead of one.
     """
-    shared = cell_rows.filter(F.col(size) > 1).select(*keys, F.col(cell).alias("cell"))
+    shared = (
+        cell_rows.filter(F.col(size) > 1).withColumnRenamed(cell, "cell")
+        .join(used, "cell", "left_semi").select(*keys, "cell"))
     ranged = durable(
         rows.join(shared, list(keys))
         .select("cell", F.col(id_col).alias("id"))

@@ -20,7 +20,10 @@ from ledgerloom.runtime import durable
 _SCOPE = ["merchant_id", "payment_rail", "direction"]
 _LEG_KEYS = [*_SCOPE, "leg_currency", "has_expected", "recon_c", "settlement_date"]
 _LINE_KEYS = [*_SCOPE, "line_currency", "amount_c", "value_date"]
-_INFO = F.struct("amount_diff_c", "day_diff").alias("info")
+
+
+def _info():
+    return F.struct("amount_diff_c", "day_diff").alias("info")
 
 
 def leg_pool(legs: DataFrame) -> DataFrame:
@@ -43,10 +46,16 @@ def _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, li
         shared = shared | (F.col("right2_n") > 1)
     if candidates.filter(shared).isEmpty():
         return assign(candidates, pairs=pairs)
+
+    def named(*nodes):
+        parts = [candidates.filter(F.col(f"{n}_n") > 1).select(F.col(n).alias("cell")) for n in nodes]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
     return assign(
         candidates,
-        members(leg_rows, leg_cells, leg_keys, "settlement_id", "left", "left_n"),
-        members(line_rows, line_cells, line_keys, "bank_txn_id", "right", "right_n"),
+        members(leg_rows, leg_cells, named("left"), leg_keys, "settlement_id", "left", "left_n"),
+        members(line_rows, line_cells, named("right", "right2") if pairs else named("right"),
+                line_keys, "bank_txn_id", "right", "right_n"),
         pairs=pairs)
 
 
@@ -76,7 +85,7 @@ def exact_id_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT
     line_cells = cells(line_rows, line_keys, "bank_txn_id", "right", "right_n")
     candidates = durable(
         reference_edges(leg_cells, line_cells, cfg)
-        .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _INFO))
+        .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _info()))
     chosen = _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, line_keys)
     return one_line_links(chosen, "exact", F.lit(cfg.exact_pct))
 
@@ -133,7 +142,7 @@ def fuzzy_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -
     candidates = durable(
         _with_tie(edges, cfg)
         .filter(~F.col("tied") & (F.col("cost_c") <= cfg.fuzzy_cost_cut))
-        .select(F.col("cost_c").alias("cost"), "left", "left_n", "right", "right_n", _INFO))
+        .select(F.col("cost_c").alias("cost"), "left", "left_n", "right", "right_n", _info()))
     chosen = _settle(candidates, leg_rows, leg_cells, _LEG_KEYS, line_rows, line_cells, _LINE_KEYS)
     return one_line_links(chosen, "fuzzy", confidence_pct("cost", cfg))
 
@@ -219,7 +228,7 @@ def split_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -
         split_edges(durable(leg_cells), durable(line_cells), cfg)
         .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n",
                 F.col("right1").alias("right"), F.col("right_n1").alias("right_n"),
-                "right2", F.col("right_n2").alias("right2_n"), _INFO))
+                "right2", F.col("right_n2").alias("right2_n"), _info()))
     chosen = _settle(candidates, leg_rows, leg_cells, _LEG_KEYS, line_rows, line_cells, _LINE_KEYS, pairs=True)
     return chosen.select(
         F.col("left_id").alias("settlement_id"),
@@ -289,7 +298,7 @@ def lifecycle_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAUL
     line_cells = cells(line_rows, line_keys, "bank_txn_id", "right", "right_n")
     candidates = durable(
         _group_edges(group_cells, line_cells, cfg)
-        .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _INFO))
+        .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _info()))
     chosen = _settle(candidates, groups, group_cells, _GROUP_KEYS, line_rows, line_cells, line_keys)
     won = (
         groups.join(chosen.select(F.col("left_id").alias("settlement_id"), "right_id", "info"), "settlement_id")
