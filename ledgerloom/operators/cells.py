@@ -21,24 +21,31 @@ def cells(rows: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: st
     return rows.groupBy(*keys).agg(F.min(id_col).alias(cell), F.count(F.lit(1)).alias(size))
 
 
+# Cells up to this many rows are ranked by one window task each.
+PLAIN_RANK_ROWS = 100_000
+
+
 def members(
     rows: DataFrame, cell_rows: DataFrame, used: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: str,
+    largest: int,
 ) -> DataFrame:
     """(cell, rank, id) for every cell of more than one row named in ``used``.
 
-    Ranks come from a range partitioning on (cell, id): a rank is the row
-    number in its own range plus the sizes of the ranges before it, so a hot
-    cell is sorted by many tasks instead of one.
+    ``largest`` is the size of the largest of these cells. Where it is beyond
+    what one task should sort, ranks come from a range partitioning on
+    (cell, id): the row number in a range plus the sizes of the ranges before.
     """
     shared = (
         cell_rows.filter(F.col(size) > 1).withColumnRenamed(cell, "cell")
         .join(used, "cell", "left_semi").select(*keys, "cell"))
-    ranged = durable(
-        rows.join(shared, list(keys))
-        .select("cell", F.col(id_col).alias("id"))
-        .repartitionByRange("cell", "id")
-        .withColumn("part", F.spark_partition_id())
-    )
+    named = rows.join(shared, list(keys)).select("cell", F.col(id_col).alias("id"))
+    if largest <= PLAIN_RANK_ROWS:
+        return named.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("id")).cast("bigint"))
+    return ranged_rank(named)
+
+
+def ranged_rank(named: DataFrame) -> DataFrame:
+    ranged = durable(named.repartitionByRange("cell", "id").withColumn("part", F.spark_partition_id()))
     earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -48,5 +55,5 @@ def members(
     return (
         ranged.withColumn("local", local)
         .join(offsets, ["cell", "part"])
-        .select("cell", (F.col("offset") + F.col("local")).alias("rank"), "id")
+        .select("cell", "id", (F.col("offset") + F.col("local")).alias("rank"))
     )

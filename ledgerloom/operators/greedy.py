@@ -34,18 +34,18 @@ def assign(
     Cells of more than one row need the member tables of ``cells.members``.
     """
     spark = candidates.sparkSession
-    counted = left_members is not None
+    counted = left_members is not None or right_members is not None
     if not pairs:
         candidates = candidates.withColumns({
             "right2": F.lit(None).cast("string"), "right2_n": F.lit(None).cast("bigint")})
-    if counted:
-        left_members, right_members = durable(left_members), durable(right_members)
-    open_edges = durable(_with_heads(candidates, right_members if pairs and counted else None))
+    left_members = left_members and durable(left_members)
+    right_members = right_members and durable(right_members)
+    open_edges = durable(_with_heads(candidates, right_members if pairs else None))
     folder = f"{scratch_root(spark)}/links-{uuid.uuid4().hex}"
     schema = None
     round_no = 0
     while not open_edges.isEmpty():
-        first = _dominant(open_edges, counted)
+        first = _dominant(open_edges, counted, pairs)
         schema = first.schema
         path = f"{folder}/round={round_no}"
         first.write.parquet(path)
@@ -57,7 +57,7 @@ def assign(
     if round_no:
         segments = spark.read.schema(schema).option("basePath", folder).parquet(folder)
     else:
-        segments = _dominant(open_edges, counted)
+        segments = _dominant(open_edges, counted, pairs)
     return _expand(segments, left_members, right_members, pairs)
 
 
@@ -78,104 +78,105 @@ def _with_heads(candidates: DataFrame, right_members: DataFrame | None) -> DataF
     )
 
 
-def _dominant(edges: DataFrame, counted: bool) -> DataFrame:
-    """Candidates that are first at every end, with how many links they give."""
-    key = F.struct(
-        "cost", "left_head",
-        F.least("right_head", "right2_head").alias("low"),
-        F.greatest("right_head", "right2_head").alias("high"),
-        "left", "right", "right2",
-        "left_n", "left_used", "right_n", "right_used", "right2_n", "right2_used", "info",
-    )
-    ends = F.array_distinct(F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("side"), F.col("left").alias("node")),
-            F.struct(F.lit(1).alias("side"), F.col("right").alias("node")),
-            F.struct(F.lit(1).alias("side"), F.col("right2").alias("node")),
-        ),
-        lambda end: end["node"].isNotNull(),
-    ))
-    incidence = edges.select(key.alias("key"), F.explode(ends).alias("end"))
-    if counted:
-        # Also tell whether another candidate has the same cost at this end.
-        best = (
-            incidence.groupBy("end", "key.cost").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-            .groupBy("end").agg(F.min(F.struct("cost", "key", "n")).alias("b"))
-            .select("end", "b.key", (F.col("b.n") == 1).alias("alone"))
-        )
-    else:
-        best = incidence.groupBy("end").agg(F.min("key").alias("key")).withColumn("alone", F.lit(True))
-    twin = F.col("right") == F.col("right2")
-    arity = F.when(F.col("right2").isNull() | twin, 2).otherwise(3)
-    left_free = F.col("left_n") - F.col("left_used")
-    right_free = F.col("right_n") - F.col("right_used")
-    supply = F.when(twin, F.floor(right_free / 2)).otherwise(
-        F.least(right_free, F.col("right2_n") - F.col("right2_used")))
-    return (
-        best.groupBy("key").agg(F.count(F.lit(1)).alias("ends"), F.bool_and("alone").alias("alone"))
-        .select("key.*", "ends", "alone")
-        .filter(F.col("ends") == arity)
-        .withColumn("links", F.when(F.col("alone"), F.least(left_free, supply)).otherwise(F.lit(1)).cast("bigint"))
-        .select("cost", "left", "left_used", "left_n", "right", "right_used", "right_n",
-                "right2", "right2_used", "right2_n", "links", "info")
-    )
+_FIRST = """
+WITH ends AS (
+  SELECT struct(cost, left_head, least(right_head, right2_head) AS low, greatest(right_head, right2_head) AS high,
+                `left`, `right`, right2, left_n, left_used, right_n, right_used, right2_n, right2_used, info) AS key,
+         explode({nodes}) AS node
+  FROM {{edges}}),
+best AS ({best}),
+won AS (SELECT key, count(*) AS ends, bool_and(alone) AS alone FROM best GROUP BY key)
+SELECT key.cost, key.`left`, key.left_used, key.left_n, key.`right`, key.right_used, key.right_n,
+       key.right2, key.right2_used, key.right2_n, key.info,
+       CASE WHEN alone THEN least(
+         key.left_n - key.left_used,
+         CASE WHEN key.`right` = key.right2 THEN (key.right_n - key.right_used) div 2
+              ELSE least(key.right_n - key.right_used, key.right2_n - key.right2_used) END) ELSE 1L END AS links
+FROM won
+WHERE ends = CASE WHEN key.right2 IS NULL OR key.`right` = key.right2 THEN 2 ELSE 3 END"""
+
+_ONE_LINE_NODES = "array(concat('L', `left`), concat('R', `right`))"
+_TWO_LINE_NODES = "array_distinct(array_compact(array(concat('L', `left`), concat('R', `right`), concat('R', right2))))"
+_BEST = "SELECT node, min(key) AS key, true AS alone FROM ends GROUP BY node"
+# Also tells whether another candidate has the same cost at this end.
+_BEST_COUNTED = """SELECT node, b.key AS key, b.n = 1 AS alone FROM (
+  SELECT node, min(struct(cost, key, n)) AS b FROM (
+    SELECT node, key.cost AS cost, min(key) AS key, count(*) AS n FROM ends GROUP BY node, key.cost)
+  GROUP BY node)"""
+
+
+def _dominant(edges: DataFrame, counted: bool, pairs: bool) -> DataFrame:
+    """Candidates that are first at every end, with how many links they give.
+
+    A candidate alone at its cost at every end gives as many links as both
+    cells can supply; any other gives one.
+    """
+    text = _FIRST.format(
+        nodes=_TWO_LINE_NODES if pairs else _ONE_LINE_NODES, best=_BEST_COUNTED if counted else _BEST)
+    return edges.sparkSession.sql(text, edges=edges)
+
+
+_USED = """
+SELECT `left` AS node, 'L' AS side, left_used + links AS used FROM {first} WHERE left_n > left_used + links
+UNION ALL
+SELECT `right`, 'R', right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END FROM {first}
+WHERE right_n > right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END
+UNION ALL
+SELECT right2, 'R', right2_used + links FROM {first} WHERE `right` <> right2 AND right2_n > right2_used + links"""
+
+_GONE = """
+SELECT `left` AS node, 'L' AS side FROM {first} WHERE left_n <= left_used + links
+UNION ALL
+SELECT `right`, 'R' FROM {first} WHERE right_n <= right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END
+UNION ALL
+SELECT right2, 'R' FROM {first} WHERE `right` <> right2 AND right2_n <= right2_used + links"""
 
 
 def _consume(edges, first, left_members, right_members, pairs) -> DataFrame:
-    """Open candidates after the links of a round are taken."""
-    twin = F.col("right") == F.col("right2")
-    left_use = first.select(
-        F.col("left").alias("node"), (F.col("left_used") + F.col("links")).alias("used"), F.col("left_n").alias("n"))
-    right_use = first.select(
-        F.col("right").alias("node"),
-        (F.col("right_used") + F.when(twin, F.col("links") * 2).otherwise(F.col("links"))).alias("used"),
-        F.col("right_n").alias("n"))
-    if pairs:
-        right_use = right_use.unionByName(
-            first.filter(F.col("right2").isNotNull() & (F.col("right") != F.col("right2"))).select(
-                F.col("right2").alias("node"), (F.col("right2_used") + F.col("links")).alias("used"),
-                F.col("right2_n").alias("n")))
-    if left_members is None:
-        out = edges.join(left_use.select(F.col("node").alias("left")), "left", "left_anti")
-        out = out.join(right_use.select(F.col("node").alias("right")), "right", "left_anti")
-        if pairs:
-            out = out.join(right_use.select(F.col("node").alias("right2")), "right2", "left_anti")
-        return out.select(*edges.columns)
+    """Open candidates after the links of a round are taken.
 
-    def heads(use, member_rows):
-        for step, name in ((1, "head"), (2, "second")):
-            picked = member_rows.select(
-                F.col("cell").alias("node"), (F.col("rank") - step).alias("used"), F.col("id").alias(name))
-            use = use.join(picked, ["node", "used"], "left")
-        return use
-
-    def update(frame, use, name):
-        renamed = use.select(
-            F.col("node").alias(name), F.col("used").alias("_used"), F.col("head").alias("_head"),
-            F.col("second").alias("_second"))
-        frame = frame.join(renamed, name, "left").withColumns({
-            f"{name}_used": F.coalesce("_used", f"{name}_used"),
-            f"{name}_head": F.coalesce("_head", f"{name}_head"),
-        })
-        if name == "right2":
-            frame = frame.withColumn("right2_head", F.when(
-                twin & F.col("_used").isNotNull(), F.col("_second")).otherwise(F.col("right2_head")))
-        return frame.drop("_used", "_head", "_second")
-
-    left_heads, right_heads = heads(left_use, left_members), heads(right_use, right_members)
-    out = update(edges, left_heads, "left")
-    out = update(out, right_heads, "right")
-    alive = (F.col("left_used") < F.col("left_n")) & (F.col("right_used") < F.col("right_n"))
+    Ends without a free row take all their candidates along; an end with rows
+    left moves on to its next identifiers.
+    """
+    spark = edges.sparkSession
+    gone = spark.sql(_GONE, first=first)
+    out = edges
+    for name, side in (("left", "L"), ("right", "R"), *([("right2", "R")] if pairs else [])):
+        out = out.join(gone.filter(F.col("side") == side).select(F.col("node").alias(name)), name, "left_anti")
+    if left_members is None and right_members is None:
+        return out.select(*edges.columns)
+    used = spark.sql(_USED, first=first)
+    for name, side, member_rows in (
+        ("left", "L", left_members), ("right", "R", right_members), *([("right2", "R", right_members)] if pairs else []),
+    ):
+        if member_rows is not None:
+            out = _advance(out, used.filter(F.col("side") == side), member_rows, name)
     if pairs:
-        out = update(out, right_heads, "right2")
-        alive = alive & (F.col("right2_used") < F.col("right2_n")) & F.when(
-            twin, F.col("right_n") - F.col("right_used") >= 2).otherwise(True)
-    return out.filter(alive).select(*edges.columns)
+        out = out.filter("right2 IS NULL OR `right` <> right2 OR right_n - right_used >= 2")
+    return out.select(*edges.columns)
+
+
+def _advance(edges: DataFrame, used: DataFrame, member_rows: DataFrame, name: str) -> DataFrame:
+    """Move cells named by ``name`` to their next identifiers."""
+    follow = used.select(F.col("node").alias("cell"), "used", (F.col("used") + 1).alias("rank"))
+    moved = follow.join(member_rows, ["cell", "rank"]).select(
+        F.col("cell").alias(name), F.col("used").alias("_used"), F.col("id").alias("_head"))
+    if name == "right2":
+        # Two rows of one cell: the second is the one after the head.
+        after = follow.withColumn("rank", F.col("rank") + 1).join(member_rows, ["cell", "rank"]).select(
+            F.col("cell").alias(name), F.col("id").alias("_second"))
+        moved = moved.join(after, name, "left")
+        head = F.expr("CASE WHEN _used IS NULL THEN right2_head WHEN `right` = right2 THEN _second ELSE _head END")
+    else:
+        head = F.coalesce("_head", f"{name}_head")
+    return edges.join(moved, name, "left").withColumns({
+        f"{name}_used": F.coalesce("_used", f"{name}_used"), f"{name}_head": head,
+    }).drop("_used", "_head", "_second")
 
 
 def _expand(segments: DataFrame, left_members, right_members, pairs: bool) -> DataFrame:
     """From cell links back to identifiers, by rank."""
-    if left_members is None:
+    if left_members is None and right_members is None:
         return segments.select(
             F.col("left").alias("left_id"), F.col("right").alias("right_id"),
             F.col("right2").alias("right_id2"), "cost", "info")
@@ -195,6 +196,8 @@ def _expand(segments: DataFrame, left_members, right_members, pairs: bool) -> Da
     )
 
     def resolve(frame, member_rows, node, rank, name):
+        if member_rows is None:
+            return frame.withColumn(name, F.col(node))
         picked = member_rows.select(F.col("cell").alias(node), F.col("rank").alias(rank), F.col("id").alias("_id"))
         return (frame.join(picked, [node, rank], "left")
                 .withColumn(name, F.coalesce("_id", node)).drop("_id"))

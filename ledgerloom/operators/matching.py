@@ -40,23 +40,21 @@ def line_pool(lines: DataFrame, *extra) -> DataFrame:
 
 
 def _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, line_keys, pairs=False):
-    """Assign, with member tables only where some cell holds several rows."""
-    shared = (F.col("left_n") > 1) | (F.col("right_n") > 1)
-    if pairs:
-        shared = shared | (F.col("right2_n") > 1)
-    if candidates.filter(shared).isEmpty():
-        return assign(candidates, pairs=pairs)
+    """Assign, with member tables only for a side where some cell holds several rows."""
+    right_n = F.greatest("right_n", "right2_n") if pairs else F.col("right_n")
+    most = candidates.agg(F.max("left_n").alias("left"), F.max(right_n).alias("right")).first()
 
     def named(*nodes):
         parts = [candidates.filter(F.col(f"{n}_n") > 1).select(F.col(n).alias("cell")) for n in nodes]
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    return assign(
-        candidates,
-        members(leg_rows, leg_cells, named("left"), leg_keys, "settlement_id", "left", "left_n"),
-        members(line_rows, line_cells, named("right", "right2") if pairs else named("right"),
-                line_keys, "bank_txn_id", "right", "right_n"),
-        pairs=pairs)
+    left = right = None
+    if (most["left"] or 0) > 1:
+        left = members(leg_rows, leg_cells, named("left"), leg_keys, "settlement_id", "left", "left_n", most["left"])
+    if (most["right"] or 0) > 1:
+        ends = ("right", "right2") if pairs else ("right",)
+        right = members(line_rows, line_cells, named(*ends), line_keys, "bank_txn_id", "right", "right_n", most["right"])
+    return assign(candidates, left, right, pairs)
 
 
 # ---- exact ID -----------------------------------------------------------
