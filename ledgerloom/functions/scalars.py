@@ -49,7 +49,7 @@ def norm_text(col) -> Column:
 def ref_tokens(col) -> Column:
     """Distinct words of a narration that can be a reference; underscores stay."""
     words = F.split(F.upper(F.coalesce(_c(col), F.lit(""))), "[^A-Z0-9_]+")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
+    return F.array_sort(F.array_distinct(F.array_remove(words, "")))
 
 
 def event_hash(*cols) -> Column:
@@ -60,7 +60,7 @@ def event_hash(*cols) -> Column:
 def id_set(col) -> Column:
     """Identifiers joined by ``;`` or ``+`` as a sorted set."""
     pieces = F.split(F.translate(F.coalesce(_c(col), F.lit("")), "+", ";"), ";")
-    return F.array_sort(F.array_distinct(F.filter(pieces, lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.array_remove(pieces, "")))
 
 
 def as_bool(col) -> Column:

@@ -410,7 +410,7 @@ def _feed(t):
 
 @query
 def replay_dedup(t):
-    kept, replays = replay.dedup_events(_feed(t), replay.LEG_EVENT, "source_row", "settlement_event")
+    kept, replays = replay.dedup_events(_feed(t), replay.LEG_EVENT, "settlement_event", "source_row")
     return kept.select("event_hash", "source_row", F.lit("KEPT").alias("outcome")).unionByName(
         replays.select("event_hash", "source_row", F.lit("REPLAY").alias("outcome")))
 

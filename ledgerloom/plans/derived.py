@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerloom.runtime import spread
+
 _EIGHTH = "cast(floor(k / 8) as bigint)"
 
 BASE_STEPS = (
@@ -88,18 +90,25 @@ def base_sql(orders: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     return spark.sql(base_sql("{src}"), src=orders)
 
 
 def _expand(df: DataFrame, keep: list[str], branches: list[tuple[str, dict[str, str]]]) -> DataFrame:
-    made = [
-        F.when(F.expr(condition), F.struct(*[F.expr(sql).alias(name) for name, sql in columns.items()]))
-        for condition, columns in branches
-    ]
-    rows = F.explode(F.filter(F.array(*made), lambda item: item.isNotNull()))
-    return df.select(*keep, rows.alias("r")).select(*keep, "r.*")
+    """One row per branch whose condition holds, with that branch's columns."""
+    numbers = F.array(*[F.when(F.expr(condition), F.lit(i)) for i, (condition, _) in enumerate(branches)])
+    rows = df.withColumn("_branch", F.explode(numbers)).filter("_branch IS NOT NULL")
+
+    def choose(name: str):
+        by_text: dict[str, list[int]] = {}
+        for i, (_, columns) in enumerate(branches):
+            by_text.setdefault(columns[name], []).append(i)
+        texts = sorted(by_text, key=lambda text: len(by_text[text]))
+        cases = "".join(f" WHEN _branch IN ({', '.join(map(str, by_text[t]))}) THEN {t}" for t in texts[:-1])
+        return F.expr(f"CASE{cases} ELSE {texts[-1]} END" if cases else texts[-1]).alias(name)
+
+    return rows.select(*keep, *[choose(name) for name in branches[0][1]])
 
 
 def _text(suffix: str, prefix: str) -> str:

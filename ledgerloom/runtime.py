@@ -53,6 +53,12 @@ def durable(df: DataFrame) -> DataFrame:
     return back
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores; a scan of many splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(df: DataFrame) -> None:
     """Delete a stage table that nothing reads any more."""
     path = getattr(df, "_stage_path", None)
