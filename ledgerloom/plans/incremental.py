@@ -19,6 +19,22 @@ from ledgerloom.operators.summary import run_counters
 from ledgerloom.runtime import durable
 from ledgerloom.sources import readers as R, schema as S, writers as W
 
+# Two versions of a leg may be open at once, so a leg is known by its ID and
+# the start of its fingerprint; the ID comes first and keeps the order.
+_KEY_TAIL = 16
+
+
+def _keyed(legs: DataFrame) -> DataFrame:
+    return legs.withColumn("settlement_id", F.concat(
+        "settlement_id", F.lit("#"), F.substring("event_hash", 1, _KEY_TAIL)))
+
+
+def _plain_id(df: DataFrame, keep_key: bool = False) -> DataFrame:
+    if keep_key:
+        df = df.withColumn("settlement_key", F.col("settlement_id"))
+    return df.withColumn("settlement_id", F.expr(f"left(settlement_id, length(settlement_id) - {_KEY_TAIL + 1})"))
+
+
 _DECISION = ["event_hash", "settlement_id", "order_id", "merchant_id", "bank_ids", "match_type", "confidence_bp",
              "decision", "reason", "settlement_date"]
 
@@ -89,7 +105,7 @@ def run(
     if R.table_exists(spark, warehouse, "reconciliation_decisions"):
         prior = R.read_table(spark, warehouse, "reconciliation_decisions").select("event_hash", "bank_ids")
         legs, lines = replay.increment(legs, prior), open_lines(lines, prior)
-    legs, lines = durable(legs), durable(lines)
+    legs, lines = durable(_keyed(legs)), durable(lines)
     found, edges = evidence_decisions(legs, lines, cfg)
     decisions = durable(dated(found, rule_version=cfg.rule_version))
     audit = durable(dated(
@@ -100,11 +116,11 @@ def run(
     queue = evidence.review_queue(evidence.candidate_sets(audit, cfg), decisions, cfg).join(
         legs.select("settlement_id", "event_hash", "order_id", "merchant_id"), "settlement_id")
     out = {
-        "candidate_edges": audit,
+        "candidate_edges": _plain_id(audit, keep_key=True),
         "ingestion_deduplication": dated(leg_replays.unionByName(line_replays)),
-        "reconciliation_decisions": decisions,
-        "reconciliation_exceptions": dated(unresolved, rule_version=cfg.rule_version),
-        "ai_review_queue": dated(queue),
+        "reconciliation_decisions": _plain_id(decisions),
+        "reconciliation_exceptions": dated(_plain_id(unresolved), rule_version=cfg.rule_version),
+        "ai_review_queue": dated(_plain_id(queue)),
         "ledger_exceptions": dated(exceptions.repeated_orders(inputs["ledger"])),
     }
     labels = R.ingest_labels(spark, labels_path, run_date) if labels_path else None
@@ -113,7 +129,7 @@ def run(
     # Rows that an earlier run recorded are not recorded again.
     keys = {"reconciliation_exceptions": ["event_hash"], "ai_review_queue": ["event_hash"],
             "ledger_exceptions": ["merchant_id", "order_id", "records"],
-            "candidate_edges": ["settlement_id", "bank_txn_id"]}
+            "candidate_edges": ["settlement_key", "bank_txn_id"]}
     for name, key in keys.items():
         if R.table_exists(spark, warehouse, name):
             seen = R.read_table(spark, warehouse, name).select(*key).distinct()
