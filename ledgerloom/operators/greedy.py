@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.runtime import durable, release, scratch_root
+from ledgerloom.runtime import adopt, durable, release, scratch_root
 
 _CHUNK = 4096
 
@@ -55,7 +55,7 @@ def assign(
         open_edges = remaining
         round_no += 1
     if round_no:
-        segments = spark.read.schema(schema).option("basePath", folder).parquet(folder)
+        segments = adopt(spark.read.schema(schema).option("basePath", folder).parquet(folder), folder)
     else:
         segments = _dominant(open_edges, counted, pairs)
     return _expand(segments, left_members, right_members, pairs)

@@ -14,7 +14,7 @@ from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import cents_text, decision, is_fx
 from ledgerloom.operators.matching import exact_id_match, fuzzy_match, lifecycle_match, split_match
 from ledgerloom.operators.pools import open_legs, open_lines
-from ledgerloom.runtime import durable
+from ledgerloom.runtime import durable, scratch
 
 _STAGES = (exact_id_match, fuzzy_match, split_match, lifecycle_match)
 
@@ -23,7 +23,8 @@ def run_stages(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT, up
     """Links per stage; each stage sees the rows its predecessors left open."""
     found = []
     for stage in _STAGES[:upto]:
-        links = durable(stage(legs, lines, cfg))
+        with scratch():
+            links = durable(stage(legs, lines, cfg), keep=True)
         found.append(links)
         legs, lines = open_legs(legs, links), open_lines(lines, links)
     return found
@@ -90,5 +91,7 @@ class Reconciliation:
 
 
 def reconcile(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> Reconciliation:
-    links = union_links(run_stages(legs, lines, cfg))
-    return Reconciliation(legs, lines, durable(describe(links, legs, cfg)))
+    with scratch():
+        links = union_links(run_stages(legs, lines, cfg))
+        decisions = durable(describe(links, legs, cfg), keep=True)
+    return Reconciliation(legs, lines, decisions)

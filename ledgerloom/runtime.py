@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,7 +40,32 @@ def scratch_root(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+_open_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Delete, on leaving, the stage tables made inside that were not kept."""
+    made: list[DataFrame] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.pop()
+        for df in made:
+            release(df)
+
+
+def adopt(df: DataFrame, path: str, keep: bool = False) -> DataFrame:
+    """Let the current scope (with ``keep``, the one around it) own a table."""
+    df._stage_path = path
+    level = 2 if keep else 1
+    if len(_open_scopes) >= level:
+        _open_scopes[-level].append(df)
+    return df
+
+
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
     The table outlives lost executors, and later steps read only the columns
@@ -48,9 +74,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._stage_path = path
-    return back
+    return adopt(spark.read.schema(df.schema).parquet(path), path, keep)
 
 
 def spread(df: DataFrame) -> DataFrame:
