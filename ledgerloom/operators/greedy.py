@@ -30,8 +30,8 @@ def assign(
 
     ``candidates`` has cost, left, left_n, right, right_n, info and, with
     ``pairs``, right2, right2_n (right2 may equal right: two rows of one
-    cell). The order is (cost, left id, lower right id, higher right id).
-    Cells of more than one row need the member tables of ``cells.members``.
+    cell). The order is (cost, left id, lower right id, higher right id). It is
+    read several times, so it should be a stored table. Cells of more than one row need the member tables of ``cells.members``.
     """
     spark = candidates.sparkSession
     counted = left_members is not None or right_members is not None
@@ -40,7 +40,9 @@ def assign(
             "right2": F.lit(None).cast("string"), "right2_n": F.lit(None).cast("bigint")})
     left_members = left_members and durable(left_members)
     right_members = right_members and durable(right_members)
-    open_edges = durable(_with_heads(candidates, right_members if pairs else None))
+    open_edges = _with_heads(candidates, right_members if pairs else None)
+    if pairs and right_members is not None:
+        open_edges = durable(open_edges)
     folder = f"{scratch_root(spark)}/links-{uuid.uuid4().hex}"
     schema = None
     round_no = 0
@@ -96,12 +98,12 @@ FROM won
 WHERE ends = CASE WHEN key.right2 IS NULL OR key.`right` = key.right2 THEN 2 ELSE 3 END"""
 
 _ONE_LINE_NODES = "array(concat('L', `left`), concat('R', `right`))"
-_TWO_LINE_NODES = "array_distinct(array_compact(array(concat('L', `left`), concat('R', `right`), concat('R', right2))))"
-_BEST = "SELECT node, min(key) AS key, true AS alone FROM ends GROUP BY node"
+_TWO_LINE_NODES = "array_distinct(array(concat('L', `left`), concat('R', `right`), concat('R', right2)))"
+_BEST = "SELECT node, min(key) AS key, true AS alone FROM ends WHERE node IS NOT NULL GROUP BY node"
 # Also tells whether another candidate has the same cost at this end.
 _BEST_COUNTED = """SELECT node, b.key AS key, b.n = 1 AS alone FROM (
   SELECT node, min(struct(cost, key, n)) AS b FROM (
-    SELECT node, key.cost AS cost, min(key) AS key, count(*) AS n FROM ends GROUP BY node, key.cost)
+    SELECT node, key.cost AS cost, min(key) AS key, count(*) AS n FROM ends WHERE node IS NOT NULL GROUP BY node, key.cost)
   GROUP BY node)"""
 
 
@@ -217,5 +219,5 @@ def greedy_match(edges: DataFrame, left: str, right: str, cost: str) -> DataFram
     candidates = edges.select(
         F.col(cost).cast("bigint").alias("cost"), F.col(left).alias("left"), unit.alias("left_n"),
         F.col(right).alias("right"), unit.alias("right_n"), F.struct(F.lit(0).alias("none")).alias("info"))
-    return assign(candidates).select(
+    return assign(durable(candidates)).select(
         F.col("left_id").alias(left), F.col("right_id").alias(right), F.col("cost").alias(cost))

@@ -19,15 +19,25 @@ from ledgerloom.runtime import durable, scratch
 _STAGES = (exact_id_match, fuzzy_match, split_match, lifecycle_match)
 
 
-def run_stages(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT, upto: int = len(_STAGES)) -> list[DataFrame]:
-    """Links per stage; each stage sees the rows its predecessors left open."""
-    found = []
-    for stage in _STAGES[:upto]:
-        with scratch():
-            links = durable(stage(legs, lines, cfg), keep=True)
-        found.append(links)
-        legs, lines = open_legs(legs, links), open_lines(lines, links)
-    return found
+class Stages:
+    """Links per stage, each run once; a stage sees what its predecessors left open."""
+
+    def __init__(self, legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT):
+        self.legs, self.lines, self.cfg = legs, lines, cfg
+        self._open = (legs, lines)
+        self._found: list[DataFrame] = []
+
+    def upto(self, count: int) -> list[DataFrame]:
+        while len(self._found) < count:
+            legs, lines = self._open
+            with scratch():
+                links = durable(_STAGES[len(self._found)](legs, lines, self.cfg), keep=True)
+            self._found.append(links)
+            self._open = open_legs(legs, links), open_lines(lines, links)
+        return self._found[:count]
+
+    def all(self) -> list[DataFrame]:
+        return self.upto(len(_STAGES))
 
 
 def union_links(parts: list[DataFrame]) -> DataFrame:
@@ -92,6 +102,10 @@ class Reconciliation:
 
 def reconcile(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> Reconciliation:
     with scratch():
-        links = union_links(run_stages(legs, lines, cfg))
-        decisions = durable(describe(links, legs, cfg), keep=True)
-    return Reconciliation(legs, lines, decisions)
+        return finish(Stages(legs, lines, cfg), keep=True)
+
+
+def finish(stages: Stages, keep: bool = False) -> Reconciliation:
+    links = union_links(stages.all())
+    decisions = durable(describe(links, stages.legs, stages.cfg), keep=keep)
+    return Reconciliation(stages.legs, stages.lines, decisions)

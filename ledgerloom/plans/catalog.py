@@ -13,7 +13,7 @@ from ledgerloom.operators import evaluation, evidence, exceptions, matching, ran
 from ledgerloom.operators.greedy import greedy_match
 from ledgerloom.operators.pools import with_direction
 from ledgerloom.plans import derived
-from ledgerloom.plans.cascade import Reconciliation, describe, reconcile, run_stages
+from ledgerloom.plans.cascade import Reconciliation, Stages, finish
 from ledgerloom.runtime import durable
 from ledgerloom.sources import readers
 from ledgerloom.sources.schema import defaults
@@ -43,9 +43,13 @@ class Tables:
     def truth(self) -> DataFrame:
         return durable(derived.truth(self.spark, self.sf_dir))
 
+    @cached_property
+    def stages(self) -> Stages:
+        return Stages(self.legs, self.lines)
+
     @cached_property
     def run(self) -> Reconciliation:
-        return reconcile(self.legs, self.lines)
+        return finish(self.stages)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -97,7 +101,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 def forget(results_only: bool = True) -> None:
     """Drop remembered results, so that a timed query computes them itself."""
     for item in _known.values():
-        for name in ("run", "edges", "mutual", "leg_exceptions", "status", "verdicts", "sets"):
+        for name in ("stages", "run", "edges", "mutual", "leg_exceptions", "status", "verdicts", "sets"):
             item.__dict__.pop(name, None)
     if not results_only:
         _known.clear()
@@ -328,7 +332,7 @@ def mutual_best_match(t):
 
 
 def _stage(t, number):
-    return run_stages(t.legs, t.lines, upto=number)[-1].select(
+    return t.stages.upto(number)[-1].select(
         "settlement_id", _joined("bank_ids").alias("bank_ids"), "confidence_pct", "amount_diff_c")
 
 
@@ -355,7 +359,7 @@ def lifecycle_match(t):
 @query
 def reconcile_cascade(t):
     """Flagship: the decisions of a full run."""
-    return reconcile(t.legs, t.lines).decisions.select(
+    return t.run.decisions.select(
         "settlement_id", "order_id", "merchant_id", "match_type", _joined("bank_ids").alias("bank_ids"),
         "confidence_pct", "amount_diff_c", "decision")
 
