@@ -109,9 +109,8 @@ def _fuzzy_cells(legs, lines, cfg):
     leg_rows, line_rows = leg_pool(legs), line_pool(lines)
     leg_cells = cells(leg_rows, _LEG_KEYS, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, _LINE_KEYS, "bank_txn_id", "right", "right_n")
-    edges = durable(
-        amount_date_edges(leg_cells, line_cells, cfg)
-        .select("cost_c", "left", "left_n", "right", "right_n", "amount_diff_c", "day_diff"))
+    edges = amount_date_edges(leg_cells, line_cells, cfg).select(
+        "cost_c", "left", "left_n", "right", "right_n", "amount_diff_c", "day_diff")
     return leg_rows, leg_cells, line_rows, line_cells, edges
 
 

@@ -277,7 +277,7 @@ BODIES = {
     "direction_pools": "SELECT sign(net_c)::INT AS direction, count(*) AS legs, sum(net_c)::BIGINT AS net_c FROM legs WHERE net_c <> 0 GROUP BY 1",
     "exact_id_candidates": _exact("legs", "lines"),
     "candidate_edges": f"SELECT settlement_id, bank_txn_id, amount_diff_c, day_diff, cost_c FROM ({_edges('legs', 'lines')})",
-    "candidate_ranks": "SELECT settlement_id, bank_txn_id, has_id, cost_c, settlement_rank, bank_rank FROM ranks",
+    "candidate_ranks": "SELECT settlement_id, bank_txn_id, has_id, cost_c, settlement_rank::INT AS settlement_rank, bank_rank::INT AS bank_rank FROM ranks",
     "candidate_sets": "SELECT settlement_id, max(n) AS candidate_count, string_agg(cost_c || ':' || bank_txn_id, ' ' ORDER BY cost_c, bank_txn_id) AS top FROM (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY cost_c, bank_txn_id) AS rn, count(*) OVER (PARTITION BY settlement_id) AS n FROM edges) WHERE rn <= 5 GROUP BY 1",
     "ambiguous_settlements": f"SELECT settlement_id FROM (SELECT settlement_id, cost_c, row_number() OVER w AS rn, lead(cost_c) OVER w AS nxt FROM ({_edges('legs', 'lines')}) WINDOW w AS (PARTITION BY settlement_id ORDER BY cost_c)) WHERE rn = 1 AND nxt - cost_c <= 100",
     "lifecycle_groups": f"SELECT merchant_id, order_id, expected_c, base_legs, adjustment_legs, base_id, settlement_date FROM ({_groups('legs')})",
