@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from ledgerloom.plans import derived
 
+_WORD = re.compile(r"\w+")
+
 
 def _union(branches, keep):
     return "\nUNION ALL\n".join(
@@ -79,11 +83,11 @@ def with_tables(body: str, *ctes: tuple[str, str]) -> str:
 
 
 def _needed(body: str, named):
-    import re
-
-    keep, text = [], body
+    """The named tables that ``body`` uses, directly or through others."""
+    words = set(_WORD.findall(body))
+    keep = []
     for name, sql in reversed(named):
-        if re.search(rf"\b{name}\b", text):
+        if name in words:
             keep.append((name, sql))
-            text += " " + sql
+            words |= set(_WORD.findall(sql))
     return list(reversed(keep))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from ledgerloom import texts
 from ledgerloom.config import DEFAULT as CFG
 from ledgerloom.plans.catalog import RUN_DATE
@@ -42,9 +44,7 @@ def _greedy(name: str, edges: str) -> list[tuple[str, str]]:
   JOIN {name}_n{i} b ON b.node = e.r1 AND b.eid = e.eid
   LEFT JOIN {name}_n{i} c ON c.node = e.r2 WHERE e.r2 IS NULL OR c.eid = e.eid"""))
         out.append((f"{name}_u{i}", f"SELECT l AS node FROM {name}_d{i} UNION ALL SELECT r1 FROM {name}_d{i} UNION ALL SELECT r2 FROM {name}_d{i} WHERE r2 IS NOT NULL"))
-        out.append((f"{name}_e{i + 1}", f"""SELECT * FROM {name}_e{i} e WHERE NOT EXISTS (
-  SELECT 1 FROM {name}_u{i} u WHERE u.node = e.l OR u.node = e.r1 OR u.node = e.r2)"""
-                    if False else f"""SELECT * FROM {name}_e{i} WHERE l NOT IN (SELECT node FROM {name}_u{i})
+        out.append((f"{name}_e{i + 1}", f"""SELECT * FROM {name}_e{i} WHERE l NOT IN (SELECT node FROM {name}_u{i})
   AND r1 NOT IN (SELECT node FROM {name}_u{i}) AND (r2 IS NULL OR r2 NOT IN (SELECT node FROM {name}_u{i}))"""))
     out.append((name, " UNION ALL ".join(f"SELECT * FROM {name}_d{i}" for i in range(ROUNDS))))
     return out
@@ -346,6 +346,7 @@ FROM (SELECT count(*) AS n, count(*) FILTER (result = 'TP') AS tp FROM scored JO
 _ALL = _greedy("allg", f"SELECT cost_c AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2 FROM ({_edges('legs', 'lines')})")
 
 
+@cache
 def oracle_sql() -> dict[str, str]:
     return {name: with_tables(body, *CASCADE, *EVIDENCE, *_ALL) for name, body in BODIES.items()}
 
