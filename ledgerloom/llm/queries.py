@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import host_rules, simhash
+from ledgerloom.llm import host_rules, lempel_ziv, packing, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies, on the driver and on the workers alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lempel_ziv.digests(_documents(spark, sf_dir))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source",
@@ -23,7 +38,9 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_vector_packing": op2_vector_packing,
     "op3_simhash": op3_simhash,
+    "op7_lempel_ziv": op7_lempel_ziv,
     "op10_host_rules": op10_host_rules,
 }
 
