@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import host_rules, lempel_ziv, packing, simhash
+from ledgerloom.llm import host_rules, lempel_ziv, packing, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +27,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.digests(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source",
@@ -40,8 +51,10 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_vector_packing": op2_vector_packing,
     "op3_simhash": op3_simhash,
+    "op5_toxicity": op5_toxicity,
     "op7_lempel_ziv": op7_lempel_ziv,
     "op10_host_rules": op10_host_rules,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {}
