@@ -21,9 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents: gone. The classifier learns from the labels of ``sf_dir`` and the raw documents they mark."""
-    raw = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return toxicity.accepted(docs, toxicity.train(raw, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Toxic documents: gone. The classifier learns from those of ``docs`` that have a label."""
+    return toxicity.accepted(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

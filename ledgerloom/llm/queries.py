@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import host_rules, lempel_ziv, packing, simhash, toxicity
+from ledgerloom.llm import host_rules, hyperdimensional, lempel_ziv, order_minhash, packing, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.compare(_documents(spark, sf_dir))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -32,6 +36,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return hyperdimensional.predict(docs, hyperdimensional.train(docs))
+
+
 def op7_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.digests(_documents(spark, sf_dir))
 
@@ -49,9 +58,11 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_vector_packing": op2_vector_packing,
     "op3_simhash": op3_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_hyperdimensional": op6_hyperdimensional,
     "op7_lempel_ziv": op7_lempel_ziv,
     "op10_host_rules": op10_host_rules,
     "pipeline": pipeline,
