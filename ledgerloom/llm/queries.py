@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import host_rules, hyperdimensional, lempel_ziv, order_minhash, packing, simhash, toxicity
+from ledgerloom.llm import host_rules, hyperdimensional, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.digests(_documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_hyperdimensional": op6_hyperdimensional,
     "op7_lempel_ziv": op7_lempel_ziv,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_host_rules": op10_host_rules,
     "pipeline": pipeline,
 }
