@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import host_rules, hyperdimensional, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity
+from ledgerloom.llm import (
+    host_rules, hyperdimensional, kneser_ney, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,11 @@ def op7_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempel_ziv.digests(_documents(spark, sf_dir))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_documents(spark, sf_dir))
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_hyperdimensional": op6_hyperdimensional,
     "op7_lempel_ziv": op7_lempel_ziv,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_host_rules": op10_host_rules,
     "pipeline": pipeline,
