@@ -148,6 +148,36 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+class Memory:
+    """Number sequences of words, worked out once per worker and word: ``work`` maps new words to their sequences."""
+
+    def __init__(self, work, most: int):
+        self.work, self.most = work, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict = {}
+        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __call__(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of all words, one after the other, and the length of each."""
+        new = list(set(words).difference(self.index))
+        if self.index and len(self.index) + len(new) > self.most:
+            self._forget()
+            new = list(set(words))
+        if new:
+            found = self.work(new)
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            start = len(self.ids) + np.cumsum(length) - length
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(length.sum()))])
+            self.start, self.length = np.append(self.start, start), np.append(self.length, length)
+        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        length = self.length[which]
+        first = np.cumsum(length) - length
+        return self.ids[np.repeat(self.start[which] - first, length) + np.arange(int(length.sum()))], length
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): the smallest node that can be reached.
 

@@ -46,11 +46,7 @@ class WordEncoder:
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tails: dict[bytes, list[int]] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.memory = C.Memory(self._encode, REMEMBERED)
 
     def _full(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -77,14 +73,6 @@ class WordEncoder:
         return [other[word] if part is None else stems[part[0]] + self.tails[part[1]] if part[1] else stems[part[0]]
                 for word, part in zip(words, split)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self._encode(words)
-        length = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        start = len(self.ids) + np.cumsum(length) - length
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, int(length.sum()))])
-        self.start, self.length = np.append(self.start, start), np.append(self.length, length)
-
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """IDs of all texts, each with its end token, and the offsets of each."""
         _, _, before = C.words(data, offsets)
@@ -92,22 +80,13 @@ class WordEncoder:
         text = b"\n".join(raw[a:b] for a, b in zip(at[:-1], at[1:]))
         # lower case comes first, but for the names of special tokens, which it would change
         words = (text if b"<|" in text else text.lower()).split()
-        unknown = list(set(words).difference(self.index))
-        if len(self.index) + len(unknown) > REMEMBERED and self.index:
-            self._forget()
-            unknown = list(set(words))
-        if unknown:
-            self._learn(unknown)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        length = self.length[which]
+        found, length = self.memory(words)
         bounds = C.per_document(length, before)
         bounds = np.r_[0, np.cumsum(bounds + 1)]
         ids = np.full(bounds[-1], END, np.uint32)
-        first = np.cumsum(length) - length
-        source = np.repeat(self.start[which] - first, length) + np.arange(int(length.sum()))
         target = np.ones(len(ids), bool)
         target[bounds[1:] - 1] = False
-        ids[target] = self.ids[source]
+        ids[target] = found
         return ids, bounds
 
 

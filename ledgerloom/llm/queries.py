@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import (
-    host_rules, hyperdimensional, kneser_ney, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity)
+    host_rules, hyperdimensional, kneser_ney, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity, viterbi)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encode(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -71,6 +75,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_vector_packing": op2_vector_packing,
     "op3_simhash": op3_simhash,
+    "op4_viterbi": op4_viterbi,
     "op5_toxicity": op5_toxicity,
     "op6_hyperdimensional": op6_hyperdimensional,
     "op7_lempel_ziv": op7_lempel_ziv,
