@@ -21,27 +21,18 @@ def cells(rows: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: st
     return rows.groupBy(*keys).agg(F.min(id_col).alias(cell), F.count(F.lit(1)).alias(size))
 
 
-# Cells up to this many rows are ranked by one window task each.
-PLAIN_RANK_ROWS = 100_000
-
-
 def members(
-    rows: DataFrame, cell_rows: DataFrame, used: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: str,
-    largest: int,
+    rows: DataFrame, cell_rows: DataFrame, keys: Sequence[str], id_col: str, cell: str, size: str, used: DataFrame,
 ) -> DataFrame:
     """(cell, rank, id) for every cell of more than one row named in ``used``.
 
-    ``largest`` is the size of the largest of these cells. Where it is beyond
-    what one task should sort, ranks come from a range partitioning on
-    (cell, id): the row number in a range plus the sizes of the ranges before.
+    Ranks come from a range partitioning on (cell, id), whatever the sizes of
+    the cells: the row number in a range plus the sizes of the ranges before.
     """
     shared = (
         cell_rows.filter(F.col(size) > 1).withColumnRenamed(cell, "cell")
         .join(used, "cell", "left_semi").select(*keys, "cell"))
-    named = rows.join(shared, list(keys)).select("cell", F.col(id_col).alias("id"))
-    if largest <= PLAIN_RANK_ROWS:
-        return named.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("id")).cast("bigint"))
-    return ranged_rank(named)
+    return ranged_rank(rows.join(shared, list(keys)).select("cell", F.col(id_col).alias("id")))
 
 
 def ranged_rank(named: DataFrame) -> DataFrame:

@@ -1,187 +1,102 @@
 """Greedy assignment in rounds.
 
-Walking candidates in a strict total order and taking one whenever all its
-ends are free gives the same links as repeatedly taking every candidate that
-comes first at all of its ends (locally dominant edges: Preis 1999, Hoepman
-2004). Each round is two aggregations over the candidates still open; no
-candidate group is ever sorted or gathered in one task. Rounds go on until no
-candidate is left: each takes at least the globally first one, so the loop
-ends, and no cap is needed.
+Candidates join cells (see ``cells``) and are walked by cost; candidates of
+one cost stand in the order of a hash of their cells. A candidate whose turn
+comes hands over as many rows as both cells have left. The same links come
+from repeatedly taking every candidate that is first at all of its ends
+(locally dominant edges: Preis 1999, Hoepman 2004). Each candidate taken uses
+up one of its cells, and because ties stand in a random order their chains are
+short: the rounds grow with the logarithm of the candidates (Blelloch, Fineman
+and Shun 2012), not with the rows of the cells. A round is one map-side
+combined minimum per end and one write; no candidate group is ever sorted or
+gathered in one task. Rounds go on until no candidate is left.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.runtime import adopt, durable, release, scratch_root
+from ledgerloom.operators.cells import members
+from ledgerloom.runtime import counted, durable
 
 _CHUNK = 4096
 
 
-def assign(
-    candidates: DataFrame,
-    left_members: DataFrame | None = None,
-    right_members: DataFrame | None = None,
-    pairs: bool = False,
-) -> DataFrame:
+def assign(candidates: DataFrame, left_rows, right_rows, pairs: bool = False) -> DataFrame:
     """Links chosen from ``candidates``: (left_id, right_id, right_id2, cost, info).
 
     ``candidates`` has cost, left, left_n, right, right_n, info and, with
     ``pairs``, right2, right2_n (right2 may equal right: two rows of one
-    cell). The order is (cost, left id, lower right id, higher right id). It is
-    read several times, so it should be a stored table. Cells of more than one row need the member tables of ``cells.members``.
+    cell). ``left_rows`` and ``right_rows`` are the arguments of
+    ``cells.members`` for their side, or None where every cell is one row.
     """
-    spark = candidates.sparkSession
-    counted = left_members is not None or right_members is not None
+    return _expand(links_of_cells(candidates, pairs), left_rows, right_rows, pairs)
+
+
+def links_of_cells(candidates: DataFrame, pairs: bool = False) -> DataFrame:
+    """Chosen cell candidates with the number of ``links`` and the rows used before them."""
     if not pairs:
         candidates = candidates.withColumns({
             "right2": F.lit(None).cast("string"), "right2_n": F.lit(None).cast("bigint")})
-    left_members = left_members and durable(left_members)
-    right_members = right_members and durable(right_members)
-    open_edges = _with_heads(candidates, right_members if pairs else None)
-    if pairs and right_members is not None:
-        open_edges = durable(open_edges)
-    folder = f"{scratch_root(spark)}/links-{uuid.uuid4().hex}"
-    schema = None
-    round_no = 0
-    while not open_edges.isEmpty():
-        first = _dominant(open_edges, counted, pairs)
-        schema = first.schema
-        path = f"{folder}/round={round_no}"
-        first.write.parquet(path)
-        first = spark.read.schema(schema).parquet(path)
-        remaining = durable(_consume(open_edges, first, left_members, right_members, pairs))
-        release(open_edges)
-        open_edges = remaining
-        round_no += 1
-    if round_no:
-        segments = adopt(spark.read.schema(schema).option("basePath", folder).parquet(folder), folder)
-    else:
-        segments = _dominant(open_edges, counted, pairs)
-    return _expand(segments, left_members, right_members, pairs)
-
-
-def _with_heads(candidates: DataFrame, right_members: DataFrame | None) -> DataFrame:
-    edges = candidates.withColumns({
-        "left_used": F.lit(0).cast("bigint"), "left_head": F.col("left"),
-        "right_used": F.lit(0).cast("bigint"), "right_head": F.col("right"),
-        "right2_used": F.when(F.col("right2").isNotNull(), F.lit(0)).cast("bigint"),
-        "right2_head": F.col("right2"),
-    })
-    if right_members is None:
-        return edges
-    second = right_members.filter("rank = 2").select(F.col("cell").alias("right"), F.col("id").alias("_second"))
-    return (
-        edges.join(second, "right", "left")
-        .withColumn("right2_head", F.when(F.col("right") == F.col("right2"), F.col("_second")).otherwise(F.col("right2_head")))
-        .drop("_second")
-    )
-
-
-_FIRST = """
+    zero = F.lit(0).cast("bigint")
+    state, left_open = counted(candidates.select(
+        "cost", F.md5(tie_key("left", "right", "right2").cast("binary")).alias("turn"),
+        "left", "left_n", zero.alias("left_used"), "right", "right_n", zero.alias("right_used"),
+        "right2", "right2_n", zero.alias("right2_used"), "info", F.lit(None).cast("bigint").alias("links")))
+    taken = state.filter("links IS NOT NULL")
+    while left_open:
+        text = _ROUND.format(
+            used2="coalesce(c.n, 0)" if pairs else "0", join2=_SECOND_END if pairs else "", edges="{edges}")
+        after, left_open = counted(state.sparkSession.sql(text, edges=state.filter("links IS NULL")), "links IS NULL")
+        taken = taken.unionByName(after.filter("links IS NOT NULL"))
+        state = after
+    return taken
+
+
+def tie_key(left: str, right: str, right2: str):
+    """Text whose hash orders the candidates of one cost."""
+    return F.concat_ws("|", left, F.least(right, right2), F.when(F.col(right2).isNotNull(), F.greatest(right, right2)))
+
+
+# Ends of the open candidates -> first candidate of each end -> candidates that
+# are first everywhere, with their links -> rows used by them, by end.
+_ROUND = """
 WITH ends AS (
-  SELECT struct(cost, left_head, least(right_head, right2_head) AS low, greatest(right_head, right2_head) AS high,
-                `left`, `right`, right2, left_n, left_used, right_n, right_used, right2_n, right2_used, info) AS key,
-         explode({nodes}) AS node
-  FROM {{edges}}),
-best AS ({best}),
-won AS (SELECT key, count(*) AS ends, bool_and(alone) AS alone FROM best GROUP BY key)
-SELECT key.cost, key.`left`, key.left_used, key.left_n, key.`right`, key.right_used, key.right_n,
-       key.right2, key.right2_used, key.right2_n, key.info,
-       CASE WHEN alone THEN least(
-         key.left_n - key.left_used,
-         CASE WHEN key.`right` = key.right2 THEN (key.right_n - key.right_used) div 2
-              ELSE least(key.right_n - key.right_used, key.right2_n - key.right2_used) END) ELSE 1L END AS links
-FROM won
-WHERE ends = CASE WHEN key.right2 IS NULL OR key.`right` = key.right2 THEN 2 ELSE 3 END"""
-
-_ONE_LINE_NODES = "array(concat('L', `left`), concat('R', `right`))"
-_TWO_LINE_NODES = "array_distinct(array(concat('L', `left`), concat('R', `right`), concat('R', right2)))"
-_BEST = "SELECT node, min(key) AS key, true AS alone FROM ends WHERE node IS NOT NULL GROUP BY node"
-# Also tells whether another candidate has the same cost at this end.
-_BEST_COUNTED = """SELECT node, b.key AS key, b.n = 1 AS alone FROM (
-  SELECT node, min(struct(cost, key, n)) AS b FROM (
-    SELECT node, key.cost AS cost, min(key) AS key, count(*) AS n FROM ends WHERE node IS NOT NULL GROUP BY node, key.cost)
-  GROUP BY node)"""
-
-
-def _dominant(edges: DataFrame, counted: bool, pairs: bool) -> DataFrame:
-    """Candidates that are first at every end, with how many links they give.
-
-    A candidate alone at its cost at every end gives as many links as both
-    cells can supply; any other gives one.
-    """
-    text = _FIRST.format(
-        nodes=_TWO_LINE_NODES if pairs else _ONE_LINE_NODES, best=_BEST_COUNTED if counted else _BEST)
-    return edges.sparkSession.sql(text, edges=edges)
-
-
-_USED = """
-SELECT `left` AS node, 'L' AS side, left_used + links AS used FROM {first} WHERE left_n > left_used + links
+  SELECT struct(cost, turn, `left`, `right`, right2, left_n, left_used, right_n, right_used, right2_n, right2_used, info) AS key,
+         explode(array_distinct(array(concat('L', `left`), concat('R', `right`), concat('R', coalesce(right2, `right`))))) AS node
+  FROM {edges}),
+won AS (
+  SELECT key.*, least(key.left_n - key.left_used,
+    CASE WHEN key.`right` = key.right2 THEN (key.right_n - key.right_used) div 2
+         ELSE least(key.right_n - key.right_used, key.right2_n - key.right2_used) END) AS links
+  FROM (SELECT node, min(key) AS key FROM ends GROUP BY node)
+  GROUP BY key
+  HAVING count(*) = CASE WHEN key.right2 IS NULL OR key.`right` = key.right2 THEN 2 ELSE 3 END),
+used AS (
+  SELECT u.node, u.n FROM won LATERAL VIEW inline(array(
+    struct(concat('L', `left`) AS node, links AS n),
+    struct(concat('R', `right`) AS node, CASE WHEN `right` = right2 THEN links * 2 ELSE links END AS n),
+    struct(CASE WHEN `right` <> right2 THEN concat('R', right2) END AS node, links AS n))) u
+  WHERE u.node IS NOT NULL),
+moved AS (
+  SELECT cost, turn, `left`, left_n, left_used + coalesce(a.n, 0) AS left_used,
+         `right`, right_n, right_used + coalesce(b.n, 0) AS right_used,
+         right2, right2_n, right2_used + {used2} AS right2_used, info
+  FROM {edges}
+  LEFT JOIN used a ON a.node = concat('L', `left`)
+  LEFT JOIN used b ON b.node = concat('R', `right`)
+  {join2})
+SELECT cost, turn, `left`, left_n, left_used, `right`, right_n, right_used, right2, right2_n, right2_used, info, links FROM won
 UNION ALL
-SELECT `right`, 'R', right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END FROM {first}
-WHERE right_n > right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END
-UNION ALL
-SELECT right2, 'R', right2_used + links FROM {first} WHERE `right` <> right2 AND right2_n > right2_used + links"""
-
-_GONE = """
-SELECT `left` AS node, 'L' AS side FROM {first} WHERE left_n <= left_used + links
-UNION ALL
-SELECT `right`, 'R' FROM {first} WHERE right_n <= right_used + links * CASE WHEN `right` = right2 THEN 2 ELSE 1 END
-UNION ALL
-SELECT right2, 'R' FROM {first} WHERE `right` <> right2 AND right2_n <= right2_used + links"""
-
+SELECT *, CAST(NULL AS BIGINT) FROM moved
+WHERE left_n > left_used AND right_n - right_used >= CASE WHEN `right` = right2 THEN 2 ELSE 1 END
+  AND (right2 IS NULL OR right2_n > right2_used)"""
 
-def _consume(edges, first, left_members, right_members, pairs) -> DataFrame:
-    """Open candidates after the links of a round are taken.
+_SECOND_END = "LEFT JOIN used c ON c.node = concat('R', right2)"
 
-    Ends without a free row take all their candidates along; an end with rows
-    left moves on to its next identifiers.
-    """
-    spark = edges.sparkSession
-    gone = spark.sql(_GONE, first=first)
-    out = edges
-    for name, side in (("left", "L"), ("right", "R"), *([("right2", "R")] if pairs else [])):
-        out = out.join(gone.filter(F.col("side") == side).select(F.col("node").alias(name)), name, "left_anti")
-    if left_members is None and right_members is None:
-        return out.select(*edges.columns)
-    used = spark.sql(_USED, first=first)
-    for name, side, member_rows in (
-        ("left", "L", left_members), ("right", "R", right_members), *([("right2", "R", right_members)] if pairs else []),
-    ):
-        if member_rows is not None:
-            out = _advance(out, used.filter(F.col("side") == side), member_rows, name)
-    if pairs:
-        out = out.filter("right2 IS NULL OR `right` <> right2 OR right_n - right_used >= 2")
-    return out.select(*edges.columns)
-
-
-def _advance(edges: DataFrame, used: DataFrame, member_rows: DataFrame, name: str) -> DataFrame:
-    """Move cells named by ``name`` to their next identifiers."""
-    follow = used.select(F.col("node").alias("cell"), "used", (F.col("used") + 1).alias("rank"))
-    moved = follow.join(member_rows, ["cell", "rank"]).select(
-        F.col("cell").alias(name), F.col("used").alias("_used"), F.col("id").alias("_head"))
-    if name == "right2":
-        # Two rows of one cell: the second is the one after the head.
-        after = follow.withColumn("rank", F.col("rank") + 1).join(member_rows, ["cell", "rank"]).select(
-            F.col("cell").alias(name), F.col("id").alias("_second"))
-        moved = moved.join(after, name, "left")
-        head = F.expr("CASE WHEN _used IS NULL THEN right2_head WHEN `right` = right2 THEN _second ELSE _head END")
-    else:
-        head = F.coalesce("_head", f"{name}_head")
-    return edges.join(moved, name, "left").withColumns({
-        f"{name}_used": F.coalesce("_used", f"{name}_used"), f"{name}_head": head,
-    }).drop("_used", "_head", "_second")
 
-
-def _expand(segments: DataFrame, left_members, right_members, pairs: bool) -> DataFrame:
+def _expand(segments: DataFrame, left_rows, right_rows, pairs: bool) -> DataFrame:
     """From cell links back to identifiers, by rank."""
-    if left_members is None and right_members is None:
-        return segments.select(
-            F.col("left").alias("left_id"), F.col("right").alias("right_id"),
-            F.col("right2").alias("right_id2"), "cost", "info")
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("links") - 1) / _CHUNK).cast("bigint")))
     step = F.explode(F.sequence(
         F.col("_chunk") * _CHUNK, F.least(F.col("links"), (F.col("_chunk") + 1) * _CHUNK) - 1))
@@ -197,6 +112,10 @@ def _expand(segments: DataFrame, left_members, right_members, pairs: bool) -> Da
         })
     )
 
+    def named(*nodes):
+        parts = [segments.filter(F.col(f"{n}_n") > 1).select(F.col(n).alias("cell")) for n in nodes]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
     def resolve(frame, member_rows, node, rank, name):
         if member_rows is None:
             return frame.withColumn(name, F.col(node))
@@ -204,10 +123,12 @@ def _expand(segments: DataFrame, left_members, right_members, pairs: bool) -> Da
         return (frame.join(picked, [node, rank], "left")
                 .withColumn(name, F.coalesce("_id", node)).drop("_id"))
 
-    out = resolve(out, left_members, "left", "_l", "left_id")
-    out = resolve(out, right_members, "right", "_r", "right_id")
+    left = left_rows and durable(members(*left_rows, used=named("left")))
+    right = right_rows and durable(members(*right_rows, used=named(*(("right", "right2") if pairs else ("right",)))))
+    out = resolve(out, left, "left", "_l", "left_id")
+    out = resolve(out, right, "right", "_r", "right_id")
     if pairs:
-        out = resolve(out, right_members, "right2", "_r2", "right_id2")
+        out = resolve(out, right, "right2", "_r2", "right_id2")
     else:
         out = out.withColumn("right_id2", F.lit(None).cast("string"))
     return out.select("left_id", "right_id", "right_id2", "cost", "info")
@@ -219,5 +140,5 @@ def greedy_match(edges: DataFrame, left: str, right: str, cost: str) -> DataFram
     candidates = edges.select(
         F.col(cost).cast("bigint").alias("cost"), F.col(left).alias("left"), unit.alias("left_n"),
         F.col(right).alias("right"), unit.alias("right_n"), F.struct(F.lit(0).alias("none")).alias("info"))
-    return assign(durable(candidates)).select(
+    return assign(candidates, None, None).select(
         F.col("left_id").alias(left), F.col("right_id").alias(right), F.col("cost").alias(cost))

@@ -12,7 +12,7 @@ from ledgerloom import texts
 from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import confidence_pct, cost_cents, fx_admissible, ref_tokens
 from ledgerloom.operators.bands import band_join
-from ledgerloom.operators.cells import cells, members
+from ledgerloom.operators.cells import cells
 from ledgerloom.operators.greedy import assign
 from ledgerloom.operators.pools import one_line_links, with_direction
 from ledgerloom.runtime import durable
@@ -40,21 +40,9 @@ def line_pool(lines: DataFrame, *extra) -> DataFrame:
 
 
 def _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, line_keys, pairs=False):
-    """Assign, with member tables only for a side where some cell holds several rows."""
-    right_n = F.greatest("right_n", "right2_n") if pairs else F.col("right_n")
-    most = candidates.agg(F.max("left_n").alias("left"), F.max(right_n).alias("right")).first()
-
-    def named(*nodes):
-        parts = [candidates.filter(F.col(f"{n}_n") > 1).select(F.col(n).alias("cell")) for n in nodes]
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    left = right = None
-    if (most["left"] or 0) > 1:
-        left = members(leg_rows, leg_cells, named("left"), leg_keys, "settlement_id", "left", "left_n", most["left"])
-    if (most["right"] or 0) > 1:
-        ends = ("right", "right2") if pairs else ("right",)
-        right = members(line_rows, line_cells, named(*ends), line_keys, "bank_txn_id", "right", "right_n", most["right"])
-    return assign(candidates, left, right, pairs)
+    return assign(
+        candidates, (leg_rows, leg_cells, leg_keys, "settlement_id", "left", "left_n"),
+        (line_rows, line_cells, line_keys, "bank_txn_id", "right", "right_n"), pairs)
 
 
 # ---- exact ID -----------------------------------------------------------
@@ -81,7 +69,7 @@ def exact_id_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT
     line_rows, line_keys = line_pool(lines, ref_tokens("narration").alias("tokens")), [*_LINE_KEYS, "tokens"]
     leg_cells = cells(leg_rows, leg_keys, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, line_keys, "bank_txn_id", "right", "right_n")
-    candidates = durable(
+    candidates = (
         reference_edges(leg_cells, line_cells, cfg)
         .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _info()))
     chosen = _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, line_keys)
@@ -136,7 +124,7 @@ def ambiguous_settlements(legs: DataFrame, lines: DataFrame, cfg: MatchConfig =
 
 def fuzzy_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     leg_rows, leg_cells, line_rows, line_cells, edges = _fuzzy_cells(legs, lines, cfg)
-    candidates = durable(
+    candidates = (
         _with_tie(edges, cfg)
         .filter(~F.col("tied") & (F.col("cost_c") <= cfg.fuzzy_cost_cut))
         .select(F.col("cost_c").alias("cost"), "left", "left_n", "right", "right_n", _info()))
@@ -221,7 +209,7 @@ def split_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -
     leg_rows, line_rows = leg_pool(legs), line_pool(lines)
     leg_cells = cells(leg_rows, _LEG_KEYS, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, _LINE_KEYS, "bank_txn_id", "right", "right_n")
-    candidates = durable(
+    candidates = (
         split_edges(durable(leg_cells), durable(line_cells), cfg)
         .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n",
                 F.col("right1").alias("right"), F.col("right_n1").alias("right_n"),
@@ -247,7 +235,7 @@ def lifecycle_groups(legs: DataFrame) -> DataFrame:
     base = F.col("type").isin(*texts.BASE_TYPES)
     adjustment = F.col("type").isin(*texts.ADJUSTMENT_TYPES)
     return (
-        legs.filter(base | adjustment).groupBy(*_GROUP).agg(
+        legs.filter((base | adjustment) & (F.trim("order_id") != "")).groupBy(*_GROUP).agg(
             F.sum("net_c").alias("expected_c"), F.count_if(base).alias("base_legs"),
             F.count_if(adjustment).alias("adjustment_legs"),
             F.max(F.when(base, F.col("settlement_id"))).alias("base_id"),
@@ -280,20 +268,13 @@ def lifecycle_candidates(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = D
         "order_id", "merchant_id", "bank_txn_id", "expected_c", "value_date", "amount_diff_c", "day_diff")
 
 
-def first_line(candidates: DataFrame) -> DataFrame:
-    """First line of each order by value date, then bank ID."""
-    return candidates.groupBy("merchant_id", "order_id").agg(
-        F.min(F.struct("value_date", "bank_txn_id")).alias("first")
-    ).select("merchant_id", "order_id", F.col("first.bank_txn_id").alias("bank_txn_id"))
-
-
 def lifecycle_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     groups = durable(lifecycle_groups(legs).withColumn("settlement_id", _group_id()))
     line_rows = _credit_lines(lines)
     line_keys = ["merchant_id", "payment_rail", "currency", "amount_c", "value_date"]
     group_cells = cells(groups, _GROUP_KEYS, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, line_keys, "bank_txn_id", "right", "right_n")
-    candidates = durable(
+    candidates = (
         _group_edges(group_cells, line_cells, cfg)
         .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n", "right", "right_n", _info()))
     chosen = _settle(candidates, groups, group_cells, _GROUP_KEYS, line_rows, line_cells, line_keys)

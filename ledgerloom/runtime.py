@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def build_session(app: str = "ledgerloom", master: str | None = None, **conf) -> SparkSession:
@@ -77,6 +77,13 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     return adopt(spark.read.schema(df.schema).parquet(path), path, keep)
 
 
+def counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """``durable`` with the number of rows that meet ``condition``, taken while they are written."""
+    seen = Observation()
+    stored = durable(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return stored, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores; a scan of many splits is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -9,7 +9,8 @@ from ledgerloom.config import DEFAULT as CFG
 from ledgerloom.plans.catalog import RUN_DATE
 from oracles.base import with_tables
 
-ROUNDS = 8
+# Rounds written out below; what they leave open is listed as links, so that it shows.
+ROUNDS = 12
 
 
 def _quote(text: str) -> str:
@@ -33,9 +34,12 @@ def _confidence(cost: str) -> str:
     return f"greatest(55, ceil((2985 - {cost}) / 30)::BIGINT + CASE WHEN {cost} IN ({ups}) THEN 1 ELSE 0 END)::BIGINT"
 
 
+_TURN = "md5(concat_ws('|', cl, least(c1, c2), CASE WHEN c2 IS NOT NULL THEN greatest(c1, c2) END))"
+
+
 def _greedy(name: str, edges: str) -> list[tuple[str, str]]:
-    """Sequential walk as unrolled rounds; ``edges`` gives l, r1, r2 (or null), cost and more."""
-    out = [(f"{name}_e0", f"SELECT *, row_number() OVER (ORDER BY cost, l, r1, r2) AS eid FROM ({edges})")]
+    """Sequential walk as unrolled rounds; ``edges`` gives l, r1, r2 (or null), their cells cl, c1, c2, cost and more."""
+    out = [(f"{name}_e0", f"SELECT *, row_number() OVER (ORDER BY cost, {_TURN}, l, r1, r2) AS eid FROM ({edges})")]
     for i in range(ROUNDS):
         out.append((f"{name}_n{i}", f"""SELECT node, min(eid) AS eid FROM (
   SELECT l AS node, eid FROM {name}_e{i} UNION ALL SELECT r1, eid FROM {name}_e{i}
@@ -46,10 +50,49 @@ def _greedy(name: str, edges: str) -> list[tuple[str, str]]:
         out.append((f"{name}_u{i}", f"SELECT l AS node FROM {name}_d{i} UNION ALL SELECT r1 FROM {name}_d{i} UNION ALL SELECT r2 FROM {name}_d{i} WHERE r2 IS NOT NULL"))
         out.append((f"{name}_e{i + 1}", f"""SELECT * FROM {name}_e{i} WHERE l NOT IN (SELECT node FROM {name}_u{i})
   AND r1 NOT IN (SELECT node FROM {name}_u{i}) AND (r2 IS NULL OR r2 NOT IN (SELECT node FROM {name}_u{i}))"""))
-    out.append((name, " UNION ALL ".join(f"SELECT * FROM {name}_d{i}" for i in range(ROUNDS))))
+    parts = [*(f"{name}_d{i}" for i in range(ROUNDS)), f"{name}_e{ROUNDS}"]
+    out.append((name, " UNION ALL ".join(f"SELECT * FROM {part}" for part in parts)))
     return out
 
 
+def _cells(table: str, key: str, *same: str, where: str) -> str:
+    """Rows named by the first row that nothing but the identifier tells them from."""
+    return f"(SELECT {key}, min({key}) OVER (PARTITION BY {', '.join(same)}) AS cell FROM {table} WHERE {where})"
+
+
+def _leg_cells(legs: str, *more: str) -> str:
+    return _cells(legs, "settlement_id", "merchant_id", "payment_rail", "sign(net_c)", "currency", "has_expected", "recon_c",
+                  "settlement_date", *more, where="net_c <> 0")
+
+
+def _line_cells(lines: str, *more: str) -> str:
+    return _cells(lines, "bank_txn_id", "merchant_id", "payment_rail", "sign(amount_c)", "currency", "amount_c", "value_date", *more,
+                  where="amount_c <> 0")
+
+
+def _walked(edges: str, cost: str, leg_cells: str, line_cells: str, where: str = "true") -> str:
+    return f"""SELECT {cost} AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, x.cell AS cl, y.cell AS c1,
+  NULL::VARCHAR AS c2, amount_diff_c, day_diff
+FROM ({edges}) e JOIN {leg_cells} x USING (settlement_id) JOIN {line_cells} y USING (bank_txn_id) WHERE {where}"""
+
+
+def _walked_pairs(edges: str, leg_cells: str, line_cells: str) -> str:
+    return f"""SELECT 0 AS cost, settlement_id AS l, first_bank_id AS r1, second_bank_id AS r2, x.cell AS cl, y.cell AS c1,
+  z.cell AS c2, amount_diff_c
+FROM ({edges}) e JOIN {leg_cells} x USING (settlement_id) JOIN {line_cells} y ON y.bank_txn_id = first_bank_id
+JOIN {line_cells} z ON z.bank_txn_id = second_bank_id"""
+
+
+def _walked_groups(edges: str, groups: str, lines: str) -> str:
+    name = "concat_ws('|', order_id, merchant_id, payment_rail, currency)"
+    group_cells = _cells(f"(SELECT *, {name} AS gid FROM {groups})", "gid", "merchant_id", "payment_rail", "currency", "expected_c",
+                         "settlement_date", where="true")
+    line_cells = _cells(lines, "bank_txn_id", "merchant_id", "payment_rail", "currency", "amount_c", "value_date", where="amount_c > 0")
+    return f"""SELECT 0 AS cost, x.gid AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, x.cell AS cl, y.cell AS c1, NULL::VARCHAR AS c2,
+  amount_diff_c, day_diff
+FROM (SELECT *, {name} AS gid FROM ({edges})) e JOIN {group_cells} x USING (gid) JOIN {line_cells} y USING (bank_txn_id)"""
+
+
 _TOKENS = ("list_sort(list_distinct(list_filter(regexp_split_to_array(upper(narration), '[^A-Z0-9_]+'), lambda w: w <> '')))")
 
 _PAIR = "s.merchant_id = b.merchant_id AND s.payment_rail = b.payment_rail"
@@ -91,7 +134,7 @@ def _groups(legs: str) -> str:
     return f"""SELECT merchant_id, payment_rail, currency, order_id, sum(net_c)::BIGINT AS expected_c,
   count(*) FILTER (type IN {_BASE}) AS base_legs, count(*) FILTER (type IN {_ADJ}) AS adjustment_legs,
   max(settlement_id) FILTER (type IN {_BASE}) AS base_id, max(settlement_date) FILTER (type IN {_BASE}) AS settlement_date
-FROM {legs} WHERE type IN {_BASE} OR type IN {_ADJ} GROUP BY ALL
+FROM {legs} WHERE (type IN {_BASE} OR type IN {_ADJ}) AND trim(order_id) <> '' GROUP BY ALL
 HAVING count(*) FILTER (type IN {_BASE}) = 1 AND count(*) FILTER (type IN {_ADJ}) > 0"""
 
 
@@ -109,20 +152,21 @@ def _after(table: str, key: str, used: str) -> str:
 # ---- the cascade ---------------------------------------------------------
 
 CASCADE = [
-    *_greedy("exa", f"SELECT 0 AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, amount_diff_c, day_diff FROM ({_exact('legs', 'lines')})"),
+    *_greedy("exa", _walked(_exact("legs", "lines"), "0", _leg_cells("legs", "upper(order_id)"), _line_cells("lines", _TOKENS))),
     ("legs1", _after("legs", "settlement_id", "SELECT l FROM exa")),
     ("lines1", _after("lines", "bank_txn_id", "SELECT r1 FROM exa")),
     ("edges1", _edges("legs1", "lines1")),
     ("tied1", """SELECT settlement_id FROM (SELECT settlement_id, cost_c, row_number() OVER w AS rn, lead(cost_c) OVER w AS nxt
   FROM edges1 WINDOW w AS (PARTITION BY settlement_id ORDER BY cost_c)) WHERE rn = 1 AND nxt - cost_c <= 100"""),
-    *_greedy("fuz", f"SELECT cost_c AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, amount_diff_c, day_diff FROM edges1 WHERE {_confidence('cost_c')} >= 85 AND settlement_id NOT IN (SELECT settlement_id FROM tied1)"),
+    *_greedy("fuz", _walked("SELECT * FROM edges1", "cost_c", _leg_cells("legs1"), _line_cells("lines1"),
+                            f"{_confidence('cost_c')} >= 85 AND settlement_id NOT IN (SELECT settlement_id FROM tied1)")),
     ("legs2", _after("legs1", "settlement_id", "SELECT l FROM fuz")),
     ("lines2", _after("lines1", "bank_txn_id", "SELECT r1 FROM fuz")),
-    *_greedy("spl", f"SELECT 0 AS cost, settlement_id AS l, first_bank_id AS r1, second_bank_id AS r2, amount_diff_c FROM ({_splits('legs2', 'lines2')})"),
+    *_greedy("spl", _walked_pairs(_splits("legs2", "lines2"), _leg_cells("legs2"), _line_cells("lines2"))),
     ("legs3", _after("legs2", "settlement_id", "SELECT l FROM spl")),
     ("lines3", _after("lines2", "bank_txn_id", "SELECT r1 FROM spl UNION ALL SELECT r2 FROM spl")),
     ("groups3", _groups("legs3")),
-    *_greedy("cyc", f"SELECT 0 AS cost, concat_ws('|', order_id, merchant_id, payment_rail, currency) AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, amount_diff_c, day_diff FROM ({_group_lines('groups3', 'lines3')})"),
+    *_greedy("cyc", _walked_groups(_group_lines("groups3", "lines3"), "groups3", "lines3")),
     ("cyclegs", f"""SELECT g.settlement_id AS l, c.r1, c.amount_diff_c FROM legs3 g
   JOIN cyc c ON c.l = concat_ws('|', g.order_id, g.merchant_id, g.payment_rail, g.currency)
   WHERE g.type IN {_BASE} OR g.type IN {_ADJ}"""),
@@ -343,7 +387,8 @@ FROM (SELECT count(*) AS n, count(*) FILTER (result = 'TP') AS tp FROM scored JO
     "story_portfolio": "SELECT status, count(*) AS stories, round(sum(confidence) / count(*), 3)::DECIMAL(5,3) AS mean_confidence FROM verdict_rows GROUP BY 1",
 }
 
-_ALL = _greedy("allg", f"SELECT cost_c AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2 FROM ({_edges('legs', 'lines')})")
+_ALL = _greedy("allg", f"""SELECT cost_c AS cost, settlement_id AS l, bank_txn_id AS r1, NULL::VARCHAR AS r2, settlement_id AS cl,
+  bank_txn_id AS c1, NULL::VARCHAR AS c2 FROM ({_edges('legs', 'lines')})""")
 
 
 @cache

@@ -1,6 +1,7 @@
 """Stages against a plain sequential walk on small, dense, copy-rich data."""
 
 import datetime as dt
+import hashlib
 import itertools
 import random
 
@@ -40,8 +41,30 @@ def fits(leg, line, cents, days):
     return abs(leg[2] - line[1]) <= cents and abs(leg[3] - line[2]) <= days
 
 
-def walk(edges):
-    """edges sorted in order, each (left, *right)"""
+def named(rows, *same):
+    """The cell of every row: the first row that only the identifier tells it from."""
+    first = {}
+    for row in sorted(rows):
+        first.setdefault(tuple(f(row) for f in same), row[0])
+    return {row[0]: first[tuple(f(row) for f in same)] for row in rows}
+
+
+def cells_of(legs, lines, exact=False):
+    """Cells of legs and of lines, as the stages see them."""
+    left = named(legs, lambda l: l[2], lambda l: l[3], *([lambda l: l[1]] if exact else []))
+    right = named(lines, lambda b: b[1], lambda b: b[2], *([lambda b: tuple(sorted(set(b[3].split("/"))))] if exact else []))
+    return left | right
+
+
+def turn(cells, left, *right):
+    ends = sorted(cells[r] for r in right)
+    return hashlib.md5("|".join([cells[left], *ends]).encode()).hexdigest()
+
+
+def walk(edges, cells=None):
+    """``edges`` are (left, *right) or, with ``cells``, (cost, left, *right) in any order."""
+    if cells is not None:
+        edges = [e[1:] for e in sorted(edges, key=lambda e: (e[0], turn(cells, *e[1:]), e[1:]))]
     used, out = set(), set()
     for edge in edges:
         ends = [("l", edge[0]), *[("r", x) for x in edge[1:]]]
@@ -65,9 +88,8 @@ def data(seed, n_legs, n_lines, amounts, days, orders=4):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_exact_equals_walk(spark, seed):
     legs, lines = data(seed, 40, 40, [10000, 10200, 10500, 20000], 5)
-    edges = sorted((l[0], b[0]) for l in legs for b in lines
-                   if l[1] in b[3].split("/") and fits(l, b, 300, 3))
-    assert links(matching.exact_id_match(*frames(spark, legs, lines))) == walk(edges)
+    edges = [(0, l[0], b[0]) for l in legs for b in lines if l[1] in b[3].split("/") and fits(l, b, 300, 3)]
+    assert links(matching.exact_id_match(*frames(spark, legs, lines))) == walk(edges, cells_of(legs, lines, exact=True))
 
 
 def fuzzy_walk(legs, lines):
@@ -78,7 +100,7 @@ def fuzzy_walk(legs, lines):
         costs = [e[0] for e in edges if e[1] == leg[0]]
         if len(costs) > 1 and costs[1] - costs[0] <= 100:
             tied.add(leg[0])
-    return walk([e[1:] for e in edges if e[1] not in tied and e[0] <= DEFAULT.fuzzy_cost_cut]), tied
+    return walk([e for e in edges if e[1] not in tied and e[0] <= DEFAULT.fuzzy_cost_cut], cells_of(legs, lines)), tied
 
 
 @pytest.mark.parametrize("seed", [3, 4, 5])
@@ -108,7 +130,7 @@ def test_split_equals_walk(spark, seed, amounts):
     pair = frames(spark, legs, lines)
     found = [(r.settlement_id, r.first_bank_id, r.second_bank_id) for r in matching.split_candidates(*pair).collect()]
     assert sorted(found) == triples
-    assert links(matching.split_match(*pair)) == walk(triples)
+    assert links(matching.split_match(*pair)) == walk([(0, *t) for t in triples], cells_of(legs, lines))
 
 
 def test_lifecycle_equals_walk(spark):
@@ -119,9 +141,10 @@ def test_lifecycle_equals_walk(spark):
                  (f"S{i:02d}b", f"O{i:02d}", -5000, 4, "settlement_adjustment")]
     legs.append(("S99", "O99", 50000, 2, "settlement"))
     lines = [(f"B{i}", 45000 + rng.choice([0, 0, 200, 400]), rng.randrange(7), "") for i in range(9)]
-    edges = sorted((f"O{i}", b[0]) for i in {l[1][1:] for l in legs if l[1] != "O99"} for b in lines
-                   if abs(b[1] - 45000) <= 300 and abs(b[2] - 2) <= 3)
-    won = dict(walk(edges))
+    groups = [(f"{o}|m|r|INR", 45000, 2) for o in {l[1] for l in legs if l[1] != "O99"}]
+    edges = [(0, g[0], b[0]) for g in groups for b in lines if abs(b[1] - 45000) <= 300 and abs(b[2] - 2) <= 3]
+    cells = named(groups, lambda g: g[1]) | named(lines, lambda b: b[1], lambda b: b[2])
+    won = {g.split("|")[0]: b for g, b in walk(edges, cells)}
     want = {(l[0], won[l[1]]) for l in legs if l[1] in won}
     assert links(matching.lifecycle_match(*frames(spark, legs, lines))) == want
 
@@ -149,7 +172,7 @@ def test_greedy_equals_walk_on_random_graphs(spark, seed):
     rng = random.Random(seed)
     edges = {(f"L{rng.randrange(25)}", f"R{rng.randrange(25)}"): rng.randrange(6) for _ in range(120)}
     rows = [(l, r, c) for (l, r), c in edges.items()]
-    want = walk([(l, r) for c, l, r in sorted((c, l, r) for l, r, c in rows)])
+    want = walk([(c, l, r) for l, r, c in rows], {x: x for row in rows for x in row[:2]})
     got = greedy_match(spark.createDataFrame(rows, "l string, r string, c bigint"), "l", "r", "c").collect()
     assert {(r.l, r.r) for r in got} == want
 
@@ -177,3 +200,41 @@ def test_whole_words_only(spark):
     pair = frames(spark, [("S", "ORD100", 100, 0, "settlement"), ("T", "ORD1_X", 100, 0, "settlement"), ("U", "", 100, 0, "settlement")],
                   [("B", 100, 0, "NEFT/ORD1001"), ("C", 100, 0, "pay ord1_x now")])
     assert links(matching.exact_id_match(*pair)) == {("T", "C")}
+
+
+def _many(spark, n, amounts, order="'ORD1'"):
+    legs = spark.range(n).selectExpr(
+        "concat('S', lpad(id, 8, '0')) AS settlement_id", f"{order} AS order_id", "'m' AS merchant_id", "'r' AS payment_rail",
+        "'INR' AS currency", "'settlement' AS type", "0L AS gross_c", "0L AS fee_c", "0L AS tax_c",
+        f"{amounts} AS net_c", f"{amounts} AS recon_c", "false AS has_expected", "CAST(NULL AS STRING) AS source_amount",
+        "CAST(NULL AS STRING) AS exchange_rate", "date'2024-03-01' AS settlement_date")
+    lines = spark.range(n).selectExpr(
+        "concat('B', lpad(id, 8, '0')) AS bank_txn_id", "'m' AS merchant_id", "'r' AS payment_rail", "'INR' AS currency",
+        f"{amounts} AS amount_c", "date'2024-03-01' AS value_date", "'x ORD1' AS narration")
+    return legs, lines
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    from ledgerloom.operators import greedy
+
+    seen = []
+    monkeypatch.setattr(greedy, "counted", lambda *a, plain=greedy.counted: seen.append(1) or plain(*a))
+    return seen
+
+
+def test_copies_take_few_rounds(spark, rounds):
+    found = matching.exact_id_match(*_many(spark, 100_000, "10000 + 50 * (id % 20)"))
+    assert found.count() >= 99_000 and found.select("settlement_id").distinct().count() == found.count()
+    assert found.selectExpr("bank_ids[0]").distinct().count() == found.count()
+    assert len(rounds) <= 10
+
+
+def test_many_amounts_take_few_rounds(spark, rounds):
+    found = matching.exact_id_match(*_many(spark, 2_000, "10000 + id"))
+    assert found.count() >= 1_900 and len(rounds) <= 40
+
+
+def test_blank_orders_are_no_lifecycle_group(spark):
+    legs = [("S1", "", 50000, 2, "settlement"), ("S2", " ", 50000, 2, "settlement"), ("S3", "", -5000, 4, "settlement_adjustment")]
+    assert not links(matching.lifecycle_match(*frames(spark, legs, [("B1", 45000, 2, "")])))
