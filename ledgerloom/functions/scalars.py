@@ -52,6 +52,20 @@ def ref_tokens(col) -> Column:
     return F.array_sort(F.array_distinct(F.array_remove(words, "")))
 
 
+def ref_key(ref) -> Column:
+    """The word by which an order ID is looked up: its longest, the last of several."""
+    words = F.filter(F.split(F.upper(F.coalesce(_c(ref), F.lit(""))), "[^A-Z0-9_]+"), lambda w: w != "")
+    return F.array_max(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), i.alias("i"), w.alias("w"))))["w"]
+
+
+def names_order(narration, ref) -> Column:
+    """The whole order ID stands in the narration, between borders of words; both in upper case."""
+    bounded = F.concat(F.lit(r"[^A-Z0-9_]\Q"), F.replace(_c(ref), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E[^A-Z0-9_]"))
+    return F.coalesce(
+        F.regexp_like(_c(ref), F.lit("[A-Z0-9_]")) & F.contains(_c(narration), _c(ref))
+        & F.regexp_like(F.concat(F.lit(" "), _c(narration), F.lit(" ")), bounded), F.lit(False))
+
+
 def event_hash(*cols) -> Column:
     parts = [F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols]
     return F.sha2(F.concat_ws("|", *parts), 256)

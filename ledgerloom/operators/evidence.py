@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import texts
 from ledgerloom.config import DEFAULT, MatchConfig
-from ledgerloom.functions.scalars import direction, is_fx, ref_tokens
-from ledgerloom.operators.bands import band_join
+from ledgerloom.functions.scalars import direction, is_fx, names_order
 from ledgerloom.operators.cells import cells
-from ledgerloom.operators.matching import amount_date_edges
+from ledgerloom.operators.matching import amount_date_edges, named_pairs, said
 from ledgerloom.runtime import durable
 
 _SCOPE = ["merchant_id", "payment_rail", "direction"]
@@ -35,12 +34,12 @@ def _lines(lines: DataFrame) -> DataFrame:
     return (
         lines.withColumn("direction", direction("amount_c")).filter("direction <> 0")
         .select("bank_txn_id", *_SCOPE, F.col("currency").alias("line_currency"), "amount_c", "value_date",
-                ref_tokens("narration").alias("tokens")))
+                said()))
 
 
 def evidence_edges(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """Every candidate edge with its evidence; the audit product."""
-    has_id = F.array_contains("tokens", F.col("ref")) & (F.col("ref") != "")
+    has_id = names_order("said", "ref")
     return (
         amount_date_edges(_legs(legs), _lines(lines), cfg).withColumn("has_id", has_id)
         .select("settlement_id", "bank_txn_id", "merchant_id", "leg_currency", "amount_diff_c", "day_diff",
@@ -107,7 +106,7 @@ def mutual_best(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -
             cells(leg_rows, _LEG_KEYS, "settlement_id", "left", "left_n"),
             cells(line_rows, _LINE_KEYS, "bank_txn_id", "right", "right_n"), cfg)
         .select("left", "right", "cost_c", "amount_diff_c", "day_diff"))
-    ref_legs, ref_lines = [*_LEG_KEYS, "ref"], [*_LINE_KEYS, "tokens"]
+    ref_legs, ref_lines = [*_LEG_KEYS, "ref"], [*_LINE_KEYS, "said"]
     leg_cells = cells(leg_rows.filter("ref <> ''"), ref_legs, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, ref_lines, "bank_txn_id", "right", "right_n")
     evidence = durable(_evidence_cells(leg_cells, line_cells, cfg))
@@ -126,12 +125,10 @@ def mutual_best(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -
 
 def _evidence_cells(leg_cells, line_cells, cfg):
     """Candidate cells joined on the order ID in the narration, at fuzzy tolerance."""
-    from ledgerloom.functions.scalars import cost_cents, fx_admissible
+    from ledgerloom.functions.scalars import cost_cents
 
     return (
-        band_join(leg_cells, line_cells.withColumn("ref", F.explode("tokens")), [*_SCOPE, "ref"],
-                  "recon_c", "settlement_date", "amount_c", "value_date", cfg.fuzzy_cents, cfg.fuzzy_days)
-        .filter(fx_admissible("leg_currency", "line_currency", "has_expected"))
+        named_pairs(leg_cells, line_cells, cfg.fuzzy_cents, cfg.fuzzy_days)
         .withColumn("cost_c", cost_cents("amount_diff_c", "day_diff", cfg))
         .select("left", "right", "cost_c", "amount_diff_c", "day_diff"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom import texts
 from ledgerloom.config import DEFAULT, MatchConfig
-from ledgerloom.functions.scalars import confidence_pct, cost_cents, fx_admissible, ref_tokens
+from ledgerloom.functions.scalars import confidence_pct, cost_cents, fx_admissible, names_order, ref_key, ref_tokens
 from ledgerloom.operators.bands import band_join
 from ledgerloom.operators.cells import cells
 from ledgerloom.operators.greedy import assign
@@ -45,28 +45,36 @@ def _settle(candidates, leg_rows, leg_cells, leg_keys, line_rows, line_cells, li
         (line_rows, line_cells, line_keys, "bank_txn_id", "right", "right_n"), pairs)
 
 
+def said():
+    return F.upper(F.coalesce("narration", F.lit(""))).alias("said")
+
+
 # ---- exact ID -----------------------------------------------------------
 
 def reference_edges(leg_cells: DataFrame, line_cells: DataFrame, cfg: MatchConfig) -> DataFrame:
-    """Leg and line meet where the order ID is a word of the narration and both
-    tolerances hold. Joined on the word, so no narration is searched."""
-    words = line_cells.withColumn("ref", F.explode("tokens"))
+    """Leg and line meet where the narration names the order and both
+    tolerances hold. Joined on one word of the order ID; only such pairs are
+    searched for the whole ID."""
+    return named_pairs(leg_cells, line_cells, cfg.tight_cents, cfg.tight_days)
+
+
+def named_pairs(leg_cells: DataFrame, line_cells: DataFrame, cents: int, days: int) -> DataFrame:
+    legs = leg_cells.withColumn("word", ref_key("ref")).filter("word IS NOT NULL")
+    lines = line_cells.withColumn("word", F.explode(ref_tokens("said")))
     return band_join(
-        leg_cells.filter("ref <> ''"), words, [*_SCOPE, "ref"],
-        "recon_c", "settlement_date", "amount_c", "value_date", cfg.tight_cents, cfg.tight_days,
-    ).filter(fx_admissible("leg_currency", "line_currency", "has_expected"))
+        legs, lines, [*_SCOPE, "word"], "recon_c", "settlement_date", "amount_c", "value_date", cents, days,
+    ).filter(fx_admissible("leg_currency", "line_currency", "has_expected") & names_order("said", "ref"))
 
 
 def exact_id_candidates(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """Every leg and line pair with ID evidence inside the tight tolerance."""
-    tokens = ref_tokens("narration").alias("tokens")
-    edges = reference_edges(leg_pool(legs), line_pool(lines, tokens), cfg)
+    edges = reference_edges(leg_pool(legs), line_pool(lines, said()), cfg)
     return edges.select("settlement_id", "bank_txn_id", "amount_diff_c", "day_diff")
 
 
 def exact_id_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     leg_rows, leg_keys = leg_pool(legs), [*_LEG_KEYS, "ref"]
-    line_rows, line_keys = line_pool(lines, ref_tokens("narration").alias("tokens")), [*_LINE_KEYS, "tokens"]
+    line_rows, line_keys = line_pool(lines, said()), [*_LINE_KEYS, "said"]
     leg_cells = cells(leg_rows, leg_keys, "settlement_id", "left", "left_n")
     line_cells = cells(line_rows, line_keys, "bank_txn_id", "right", "right_n")
     candidates = (

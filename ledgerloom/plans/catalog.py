@@ -92,7 +92,7 @@ _known: dict[tuple[str, str], Tables] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", ""), sf_dir)
     if key not in _known:
         _known[key] = Tables(spark, sf_dir)
     return _known[key]

@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.runtime import spread
-
 _EIGHTH = "cast(floor(k / 8) as bigint)"
 
 BASE_STEPS = (
@@ -19,20 +17,19 @@ BASE_STEPS = (
   concat('M', cast(cast(floor(o_custkey / 50) as bigint) as string)) AS merchant_id,
   concat('C', cast(o_custkey as string)) AS customer,
   case when o_orderkey % 10 < 8 then 'RAIL_A' else 'RAIL_B' end AS payment_rail,
-  concat('ORD', cast(o_orderkey as string)) AS order_id,
+  case o_orderkey % 9 when 3 then concat('ORD-', cast(o_orderkey as string))
+    when 5 then concat('ord.', cast(o_orderkey as string), '/A') else concat('ORD', cast(o_orderkey as string)) end AS order_id,
   cast(round(o_totalprice * 100) as bigint) AS c,
   cast(o_orderdate as date) AS od
 FROM {orders}""",
-    """SELECT *, case k % 7 when 0 then 24900 when 1 then 49900 when 2 then 99900 when 3 then 149900
-  when 4 then 199900 when 5 then 299900 else 499900 end + c % 400 - 200 AS gross_c
+    """SELECT *, 20000 + (k % 7) * (k % 7) * 12500 + c % 400 AS gross_c
 FROM {prev} AS b0""",
     "SELECT *, cast(floor((2 * gross_c + 50) / 100) as bigint) AS fee_c FROM {prev} AS b1",
     "SELECT *, cast(floor((18 * fee_c + 50) / 100) as bigint) AS tax_c FROM {prev} AS b2",
     """SELECT *, gross_c - fee_c - tax_c AS net_c,
   od + cast(case when k % 13 = 0 then 7 + k % 3 else 1 + k % 2 end as int) AS sd,
-  case k % 5 when 0 then 0 when 1 then 0 when 2 then 1 when 3 then 1 else 2 end AS lag_days,
-  case when k % 8 = 1 then case """ + _EIGHTH + """ % 5 when 0 then -250 when 1 then -175 when 2 then 110
-    when 3 then 200 else -90 end else 0 end AS noise_c,
+  (k % 5) * (k % 3) % 3 AS lag_days,
+  case when k % 8 = 1 then """ + _EIGHTH + """ % 6 * 95 - 240 else 0 end AS noise_c,
   case when k % 20 < 13 then concat('NEFT/RAIL/', order_id, '/SETL') else 'RAIL SETTLEMENT CR' end AS credit_text,
   case when k % 20 < 13 then concat('NEFT/RAIL/REFUND/', order_id) else 'RAIL REFUND DR' end AS debit_text,
   case when k % 14 = 6 then 'missing' when k % 40 = 11 then 'adjustment' when k % 40 = 13 then 'split_payment'
@@ -90,8 +87,10 @@ def base_sql(orders: str) -> str:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    # the rule below multiplies every order, so the orders are spread first
+    orders = orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     return spark.sql(base_sql("{src}"), src=orders)
 
 

@@ -20,13 +20,13 @@ from ledgerloom.runtime import durable
 from ledgerloom.sources import readers as R, schema as S, writers as W
 
 # Two versions of a leg may be open at once, so a leg is known by its ID and
-# the start of its fingerprint; the ID comes first and keeps the order.
-_KEY_TAIL = 16
+# its fingerprint; the ID comes first and keeps the order.
+_KEY_TAIL = 64
 
 
 def _keyed(legs: DataFrame) -> DataFrame:
     return legs.withColumn("settlement_id", F.concat(
-        "settlement_id", F.lit("#"), F.substring("event_hash", 1, _KEY_TAIL)))
+        "settlement_id", F.lit("#"), "event_hash"))
 
 
 def _plain_id(df: DataFrame, keep_key: bool = False) -> DataFrame:

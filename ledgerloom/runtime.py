@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
@@ -24,20 +25,24 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_own_root: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; a folder of our own is
-    made only where neither that setting nor a checkpoint folder exists.
+    A cluster names it in ``spark.checkpoint.dir``. Only where Spark runs in
+    this very process is a folder of our own made: executors elsewhere would
+    not see it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return f"file://{_own_root[0]}"
 
 
 _open_scopes: list[list[DataFrame]] = []
@@ -84,18 +89,11 @@ def counted(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
     return stored, seen.get["n"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than cores; a scan of many splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def release(df: DataFrame) -> None:
     """Delete a stage table that nothing reads any more."""
     path = getattr(df, "_stage_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.delete_dir(at)
     df._stage_path = None

@@ -95,6 +95,13 @@ FROM (SELECT *, {name} AS gid FROM ({edges})) e JOIN {group_cells} x USING (gid)
 
 _TOKENS = ("list_sort(list_distinct(list_filter(regexp_split_to_array(upper(narration), '[^A-Z0-9_]+'), lambda w: w <> '')))")
 
+
+
+def _named(ref: str) -> str:
+    return (f"(regexp_matches({ref}, '[A-Z0-9_]') AND contains(upper(narration), {ref}) AND "
+            f"regexp_matches(' ' || upper(narration) || ' ', '[^A-Z0-9_]' || regexp_escape({ref}) || '[^A-Z0-9_]'))")
+
+
 _PAIR = "s.merchant_id = b.merchant_id AND s.payment_rail = b.payment_rail"
 _FX = "(s.currency = b.currency OR s.has_expected)"
 _TYPES = _tuple(texts.MATCHABLE_TYPES)
@@ -112,9 +119,8 @@ WHERE abs(b.amount_c - s.recon_c) <= 1000 AND abs(b.value_date - s.settlement_da
 def _exact(legs: str, lines: str) -> str:
     return f"""SELECT s.settlement_id, b.bank_txn_id, abs(b.amount_c - s.recon_c) AS amount_diff_c,
   abs(b.value_date - s.settlement_date)::INT AS day_diff
-FROM {legs} s JOIN (SELECT *, unnest({_TOKENS}) AS word FROM {lines}) b
-  ON {_PAIR} AND {_FX} AND b.word = upper(s.order_id) AND sign(s.net_c) = sign(b.amount_c)
-WHERE abs(b.amount_c - s.recon_c) <= 300 AND abs(b.value_date - s.settlement_date) <= 3"""
+FROM {legs} s JOIN {lines} b ON {_PAIR} AND {_FX} AND sign(s.net_c) = sign(b.amount_c)
+WHERE abs(b.amount_c - s.recon_c) <= 300 AND abs(b.value_date - s.settlement_date) <= 3 AND {_named('upper(s.order_id)')}"""
 
 
 def _splits(legs: str, lines: str) -> str:
@@ -152,7 +158,7 @@ def _after(table: str, key: str, used: str) -> str:
 # ---- the cascade ---------------------------------------------------------
 
 CASCADE = [
-    *_greedy("exa", _walked(_exact("legs", "lines"), "0", _leg_cells("legs", "upper(order_id)"), _line_cells("lines", _TOKENS))),
+    *_greedy("exa", _walked(_exact("legs", "lines"), "0", _leg_cells("legs", "upper(order_id)"), _line_cells("lines", "upper(narration)"))),
     ("legs1", _after("legs", "settlement_id", "SELECT l FROM exa")),
     ("lines1", _after("lines", "bank_txn_id", "SELECT r1 FROM exa")),
     ("edges1", _edges("legs1", "lines1")),
@@ -230,7 +236,7 @@ FROM (SELECT f.order_id, count(*) FILTER (type <> 'duplicate_settlement') AS leg
 
 EVIDENCE = [
     ("pool", f"SELECT * FROM legs WHERE type IN {_TYPES}"),
-    ("edges", f"SELECT *, list_contains({_TOKENS}, ref) AS has_id FROM ({_edges('pool', 'lines', 'recon_c')})"),
+    ("edges", f"SELECT *, {_named('ref')} AS has_id FROM ({_edges('pool', 'lines', 'recon_c')})"),
     ("ranks", """SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY has_id DESC, cost_c, bank_txn_id) AS settlement_rank,
   row_number() OVER (PARTITION BY bank_txn_id ORDER BY has_id DESC, cost_c, settlement_id) AS bank_rank FROM edges"""),
     ("mutual", """SELECT settlement_id, bank_txn_id, has_id, cost_c,

@@ -52,7 +52,7 @@ def named(rows, *same):
 def cells_of(legs, lines, exact=False):
     """Cells of legs and of lines, as the stages see them."""
     left = named(legs, lambda l: l[2], lambda l: l[3], *([lambda l: l[1]] if exact else []))
-    right = named(lines, lambda b: b[1], lambda b: b[2], *([lambda b: tuple(sorted(set(b[3].split("/"))))] if exact else []))
+    right = named(lines, lambda b: b[1], lambda b: b[2], *([lambda b: b[3].upper()] if exact else []))
     return left | right
 
 
@@ -238,3 +238,13 @@ def test_many_amounts_take_few_rounds(spark, rounds):
 def test_blank_orders_are_no_lifecycle_group(spark):
     legs = [("S1", "", 50000, 2, "settlement"), ("S2", " ", 50000, 2, "settlement"), ("S3", "", -5000, 4, "settlement_adjustment")]
     assert not links(matching.lifecycle_match(*frames(spark, legs, [("B1", 45000, 2, "")])))
+
+
+@pytest.mark.parametrize("order,narration,linked", [
+    ("ORD-100", "NEFT/RAIL/ORD-100/SETL", True), ("ORD-100", "NEFT ORD-1001", False), ("ORD-100", "NEFT ORD 100", False),
+    ("ord.7/A", "pay ORD.7/a now", True), ("A\\E+1", "x A\\E+1", True), ("a.c", "abc", False), ("--", "--", False), ("#5", "inv #5.", True),
+    ("X-1", "X-1-2", True), ("B2", "AB2", False)])
+def test_orders_with_punctuation(spark, order, narration, linked):
+    pair = frames(spark, [("S", order, 100, 0, "settlement")], [("B", 100, 0, narration)])
+    assert bool(links(matching.exact_id_match(*pair))) is linked
+    assert evidence.evidence_edges(*pair).first()["has_id"] is linked
