@@ -18,6 +18,20 @@ def with_direction(df: DataFrame, cents: str) -> DataFrame:
     return df.withColumn("direction", direction(cents)).filter("direction <> 0")
 
 
+def one_per_id(rows: DataFrame, id_col: str) -> DataFrame:
+    """One row of each identifier, the smallest by its columns in order; rows without one stay."""
+    one = rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        F.min(F.struct(*rows.columns)).alias("_row")).select("_row.*")
+    return one.unionByName(rows.filter(F.col(id_col).isNull()))
+
+
+def repeated_ids(rows: DataFrame, source: str, id_col: str) -> DataFrame:
+    """(source, row_id, copies): identifiers that several rows carry; one of the rows takes part in matching."""
+    return (
+        rows.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("row_id")).agg(F.count(F.lit(1)).alias("copies"))
+        .filter("copies > 1").select(F.lit(source).alias("source"), "row_id", "copies"))
+
+
 def open_legs(legs: DataFrame, links: DataFrame) -> DataFrame:
     return legs.join(links.select("settlement_id"), "settlement_id", "left_anti")
 

@@ -13,7 +13,7 @@ from ledgerloom import texts
 from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import cents_text, decision, is_fx
 from ledgerloom.operators.matching import exact_id_match, fuzzy_match, lifecycle_match, split_match
-from ledgerloom.operators.pools import open_legs, open_lines
+from ledgerloom.operators.pools import one_per_id, open_legs, open_lines
 from ledgerloom.runtime import durable, scratch
 
 _STAGES = (exact_id_match, fuzzy_match, split_match, lifecycle_match)
@@ -23,8 +23,9 @@ class Stages:
     """Links per stage, each run once; a stage sees what its predecessors left open."""
 
     def __init__(self, legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT):
-        self.legs, self.lines, self.cfg = legs, lines, cfg
-        self._open = (legs, lines)
+        # a leg and a line take part once, however often they were delivered
+        self.legs, self.lines, self.cfg = durable(one_per_id(legs, "settlement_id")), durable(one_per_id(lines, "bank_txn_id")), cfg
+        self._open = (self.legs, self.lines)
         self._found: list[DataFrame] = []
 
     def upto(self, count: int) -> list[DataFrame]:
@@ -101,8 +102,7 @@ class Reconciliation:
 
 
 def reconcile(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> Reconciliation:
-    with scratch():
-        return finish(Stages(legs, lines, cfg), keep=True)
+    return finish(Stages(legs, lines, cfg))
 
 
 def finish(stages: Stages, keep: bool = False) -> Reconciliation:

@@ -11,7 +11,7 @@ from ledgerloom.config import DEFAULT as CFG
 from ledgerloom.functions import scalars as X
 from ledgerloom.operators import evaluation, evidence, exceptions, matching, ranker, replay, review, story, summary
 from ledgerloom.operators.greedy import greedy_match
-from ledgerloom.operators.pools import with_direction
+from ledgerloom.operators.pools import repeated_ids, with_direction
 from ledgerloom.plans import derived
 from ledgerloom.plans.cascade import Reconciliation, Stages, finish
 from ledgerloom.runtime import durable
@@ -125,6 +125,23 @@ def _joined(col) -> Column:
 
 # ---- sources and scalars -------------------------------------------------
 
+@query
+def rejected_rows(t):
+    """Amounts with signs or grouping and dates of another form, found before they turn into nothing."""
+    raw = t.legs.select(
+        "settlement_id",
+        F.when(F.col("net_c") % 97 == 0, F.concat(F.lit("₹"), X.cents_text("net_c"))).otherwise(X.cents_text("net_c")).alias("net_amount"),
+        F.when(F.col("gross_c") % 89 == 0, F.lit("01/03/2024")).otherwise(F.col("settlement_date").cast("string")).alias("settlement_date"))
+    return readers.rejected_rows(raw, "settlements", "settlement_id", ["net_amount", "fee"], ["settlement_date"])
+
+
+@query
+def duplicate_ids(t):
+    """Lines of which some were delivered again, or with another amount."""
+    again = t.lines.filter("amount_c % 31 = 0").unionByName(t.lines.filter("amount_c % 62 = 0").withColumn("amount_c", F.col("amount_c") + 1))
+    return repeated_ids(t.lines.unionByName(again), "bank", "bank_txn_id")
+
+
 @query
 def source_scan(t):
     """Settlement legs written as text and conformed back."""

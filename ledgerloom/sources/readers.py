@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import (
@@ -38,13 +40,37 @@ def _complete(df: DataFrame, schema: T.StructType, cfg: MatchConfig) -> DataFram
         name: blank_to(name, value) for name, value in known.items() if name in schema.fieldNames()})
 
 
+def _cents(amount: Column, text: str) -> Column:
+    """Cents of an amount; a blank one is zero, a malformed one null (see ``rejected_rows``)."""
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    return F.when(blank, F.lit(0).cast("bigint")).otherwise(to_cents(amount))
+
+
+def rejected_rows(df: DataFrame, source: str, id_col: str, amounts: Sequence[str], dates: Sequence[str]) -> DataFrame:
+    """(source, row_id, column, raw): every given value that is no amount or no date.
+
+    Such a value is null in the conformed table, so the row matches nothing
+    and no total counts it as zero.
+    """
+    def bad(name: str, parsed: Column) -> Column:
+        given = F.trim(F.coalesce(F.col(name), F.lit(""))) != ""
+        return F.when(given & parsed.isNull(), F.struct(F.lit(name).alias("column"), F.col(name).alias("raw")))
+
+    present = set(df.columns)
+    found = [bad(n, money(n)) for n in amounts if n in present] + [bad(n, as_date(n)) for n in dates if n in present]
+    return (
+        df.select(F.lit(source).alias("source"), F.col(id_col).alias("row_id"), F.explode(F.array_compact(F.array(*found))).alias("bad"))
+        .select("source", "row_id", "bad.column", "bad.raw"))
+
+
 def conform_settlements(df: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     full = _complete(df, S.SETTLEMENT, cfg)
     return full.select(
         "settlement_id", F.coalesce("order_id", F.lit("")).alias("order_id"), "merchant_id", "payment_rail", "currency", "type",
-        *[F.coalesce(to_cents(money(c)), F.lit(0)).alias(f"{n}_c")
+        *[_cents(money(c), c).alias(f"{n}_c")
           for c, n in (("gross_amount", "gross"), ("fee", "fee"), ("tax", "tax"), ("net_amount", "net"))],
-        F.coalesce(to_cents(recon_amount("net_amount", "expected_bank_amount")), F.lit(0)).alias("recon_c"),
+        F.when(F.trim(F.coalesce("expected_bank_amount", F.lit(""))) == "", _cents(money("net_amount"), "net_amount"))
+        .otherwise(to_cents(money("expected_bank_amount"))).alias("recon_c"),
         (F.trim(F.coalesce("expected_bank_amount", F.lit(""))) != "").alias("has_expected"),
         "source_amount", "exchange_rate", as_date("settlement_date").alias("settlement_date"))
 
@@ -52,7 +78,7 @@ def conform_settlements(df: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
 def conform_bank(df: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     return _complete(df, S.BANK, cfg).select(
         "bank_txn_id", "merchant_id", "payment_rail", "currency",
-        F.coalesce(to_cents(money("amount")), F.lit(0)).alias("amount_c"), as_date("value_date").alias("value_date"),
+        _cents(money("amount"), "amount").alias("amount_c"), as_date("value_date").alias("value_date"),
         F.coalesce("narration", F.lit("")).alias("narration"))
 
 

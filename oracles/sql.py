@@ -30,8 +30,8 @@ def _money_text(c: str) -> str:
 
 
 def _confidence(cost: str) -> str:
-    ups = ", ".join(map(str, CFG.half_up_costs))
-    return f"greatest(55, ceil((2985 - {cost}) / 30)::BIGINT + CASE WHEN {cost} IN ({ups}) THEN 1 ELSE 0 END)::BIGINT"
+    """Whole percent of 1 - cost / 30 units, a half by the double nearest to it, as a plain round() does."""
+    return f"greatest(55, round(100 * format('{{:.2f}}', 1 - ({cost}::DOUBLE / 100) / 30)::DOUBLE)::BIGINT)::BIGINT"
 
 
 _TURN = "md5(concat_ws('|', cl, least(c1, c2), CASE WHEN c2 IS NOT NULL THEN greatest(c1, c2) END))"
@@ -313,6 +313,11 @@ BODIES = {
     "recon_amount": "SELECT settlement_id, recon_c FROM legs",
     "block_keys": "SELECT settlement_id, abs(recon_c) // 1000 AS amount_bucket, ((settlement_date - DATE '1970-01-01') // 7)::BIGINT AS date_bucket FROM legs",
     "narration_normalise": "SELECT bank_txn_id, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') AS narration_normalized FROM lines",
+    "rejected_rows": f"""SELECT 'settlements' AS source, settlement_id AS row_id, 'net_amount' AS "column", '₹' || {_money_text('net_c')} AS raw
+FROM legs WHERE net_c % 97 = 0
+UNION ALL SELECT 'settlements', settlement_id, 'settlement_date', '01/03/2024' FROM legs WHERE gross_c % 89 = 0""",
+    "duplicate_ids": """SELECT 'bank' AS source, bank_txn_id AS row_id, CASE WHEN amount_c % 62 = 0 THEN 3 ELSE 2 END::BIGINT AS copies
+FROM lines WHERE amount_c % 31 = 0""",
     "narration_tokens": f"SELECT bank_txn_id, array_to_string({_TOKENS}, ' ') AS tokens FROM lines",
     "event_fingerprint": f"SELECT settlement_id, {_HASH} AS event_hash FROM legs",
     "bank_id_sets": "SELECT settlement_id, array_to_string(list_sort(list_distinct(list_append(list_filter(string_split(expected_bank_ids, ';'), lambda x: x <> ''), 'ZZ'))), '+') AS bank_ids, len(list_filter(string_split(expected_bank_ids, ';'), lambda x: x <> ''))::BIGINT AS n, should_match AS matched FROM truth",

@@ -248,3 +248,26 @@ def test_orders_with_punctuation(spark, order, narration, linked):
     pair = frames(spark, [("S", order, 100, 0, "settlement")], [("B", 100, 0, narration)])
     assert bool(links(matching.exact_id_match(*pair))) is linked
     assert evidence.evidence_edges(*pair).first()["has_id"] is linked
+
+
+def test_a_line_delivered_twice_is_consumed_once(spark):
+    from ledgerloom.plans.cascade import reconcile
+
+    legs, lines = frames(spark, [("S1", "ORD1", 100, 0, "settlement"), ("S2", "ORD1", 100, 0, "settlement")], [("B1", 100, 0, "ORD1")] * 2)
+    assert reconcile(legs, lines).decisions.count() == 1
+    legs, lines = frames(spark, [("S1", "ORD1", 100, 0, "settlement")] * 2, [("B1", 100, 0, "ORD1"), ("B2", 100, 0, "ORD1")])
+    assert reconcile(legs, lines).decisions.count() == 1
+
+
+def test_malformed_amounts_are_rejected(spark):
+    from ledgerloom.sources import readers
+
+    raw = spark.createDataFrame(
+        [("S1", "1,234.50", "", "2024-03-01"), ("S2", "₹900.00", "x", "01/03/2024"), ("S3", "5.00", " ", "2024-03-01")],
+        "settlement_id string, net_amount string, fee string, settlement_date string")
+    legs = {r["settlement_id"]: r for r in readers.conform_settlements(raw).collect()}
+    assert (legs["S1"]["net_c"], legs["S1"]["recon_c"], legs["S1"]["fee_c"]) == (None, None, 0)
+    assert (legs["S2"]["fee_c"], legs["S2"]["settlement_date"]) == (None, None) and legs["S3"]["recon_c"] == 500
+    found = readers.rejected_rows(raw, "legs", "settlement_id", ["net_amount", "fee"], ["settlement_date"]).collect()
+    assert {(r["row_id"], r["column"]) for r in found} == {
+        ("S1", "net_amount"), ("S2", "net_amount"), ("S2", "fee"), ("S2", "settlement_date")}

@@ -121,7 +121,7 @@ def test_csv_source_defaults_and_bad_values(spark, tmp_path):
     one, two = rows["S1"], rows["S2"]
     assert (one.net_c, one.currency, one.merchant_id, one.has_expected, one.settlement_date) == (
         1001, "INR", "default", False, dt.date(2024, 1, 31))
-    assert (two.net_c, two.recon_c, two.has_expected, two.settlement_date) == (0, 1250, True, None)
+    assert (two.net_c, two.recon_c, two.has_expected, two.settlement_date) == (None, 1250, True, None)
 
 
 def test_settlement_json(spark, tmp_path):
