@@ -85,4 +85,48 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+#: Words of every document with their places; empty and null texts have none.
+_WORDS = r"""texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+lists AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM lists)"""
+
+
+def _windows(size: int) -> str:
+    return f"""windows AS (SELECT *, CASE WHEN i + {size - 1} <= n THEN md5(array_to_string(
+  list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING), ' ')) END AS run FROM words)"""
+
+
+def _covered(mark: str, size: int) -> str:
+    return f"""covered AS (SELECT *, max(({mark})::INT) OVER (
+  PARTITION BY doc_id ORDER BY i ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW) AS hit FROM marked)"""
+
+
+SQL: dict[str, str] = {
+    "op7_lempel_ziv": f"""WITH {_WORDS}, {_windows(20)},
+marked AS (SELECT *, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 AS again FROM windows),
+{_covered('again', 20)}
+SELECT l.doc_id, len(any_value(l.w))::BIGINT AS n_words, coalesce(sum(hit), 0)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (hit = 0), '')) AS kept_sha256
+FROM lists l LEFT JOIN covered c ON c.doc_id = l.doc_id GROUP BY l.doc_id""",
+    "op10_host_rules": f"""WITH {_WORDS}, {_windows(5)},
+marked AS (SELECT *, run IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, run) > 1 AS again FROM windows),
+{_covered('again', 5)},
+by_words AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(hit) AS n_repeat_words FROM covered GROUP BY 1),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
+by_lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+measured AS (SELECT t.doc_id, t.source, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM texts t LEFT JOIN by_words USING (doc_id) LEFT JOIN by_lines USING (doc_id)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM judged WHERE source IS NOT NULL GROUP BY 1),
+total AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS k, sum(n * n) AS nn, sum(f * f / n) AS ff, (sum(f) + 0.5) / (sum(n) + 1) AS mean FROM hosts),
+prior AS (SELECT mean, mean * (1 - mean) AS chance,
+  CASE WHEN n - nn / n > 0 THEN (greatest(0, ff - f * f / n) - (k - 1) * mean * (1 - mean)) / (n - nn / n) ELSE 0 END AS spread FROM total),
+strengths AS (SELECT mean, CASE WHEN spread > chance * 1e-6 THEN greatest(1.0, chance / spread - 1) ELSE 1e6 END AS strength FROM prior),
+rates AS (SELECT source, (f + mean * strength) / (n + strength) AS rate FROM hosts, strengths)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(rate, 0) <= 0.5 AS kept, source, round(rate, 6) AS host_rate
+FROM judged LEFT JOIN rates USING (source)""",
+}
