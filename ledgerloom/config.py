@@ -34,9 +34,9 @@ class MatchConfig:
     default_merchant: str = "default"
     default_rail: str = "default"
     processor_name: str = "Processor"
-    rule_version: str = "spark-evidence-v1"
-    blocking_version: str = "merchant-rail-currency-amount-date-v1"
-    policy_version: str = "evidence-only-ai-review-v1"
+    rule_version: str = "ledgerloom-rules-2"
+    blocking_version: str = "ledgerloom-blocks-2"
+    policy_version: str = "ledgerloom-gate-2"
 
     @property
     def half_up_costs(self) -> tuple[int, ...]:

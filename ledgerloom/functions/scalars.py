@@ -140,9 +140,6 @@ def amount_gap(a, b) -> Column:
     return F.abs(_c(a) - _c(b))
 
 
-def within(a_amount, b_amount, cents: int, a_day, b_day, days: int) -> Column:
-    return (amount_gap(a_amount, b_amount) <= cents) & (day_gap(a_day, b_day) <= days)
-
 
 def cost_cents(amount_diff, day_diff, cfg: MatchConfig = DEFAULT) -> Column:
     return _c(amount_diff) + _c(day_diff) * cfg.day_cost_cents
@@ -204,7 +201,3 @@ def cents_text(cents) -> Column:
 
 def decision(confidence, cfg: MatchConfig = DEFAULT) -> Column:
     return F.when(_c(confidence) >= cfg.auto_accept_pct, texts.AUTO).otherwise(texts.REVIEW)
-
-
-def same_ids(a, b) -> Column:
-    return F.array_sort(_c(a)) == F.array_sort(_c(b))

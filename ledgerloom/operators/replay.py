@@ -12,7 +12,6 @@ from ledgerloom.functions.scalars import event_hash
 LEG_EVENT = ("merchant_id", "payment_rail", "settlement_id", "order_id", "type", "currency", "net_c", "recon_c", "settlement_date")
 LINE_EVENT = ("merchant_id", "payment_rail", "bank_txn_id", "currency", "amount_c", "value_date", "narration")
 # The narrower fingerprint of earlier runs, for reading their decisions.
-LEGACY_LEG_EVENT = ("merchant_id", "settlement_id", "net_c", "settlement_date", "type")
 
 
 _BLOCK = 4096

@@ -590,6 +590,18 @@ def story_verdicts(t):
         "order_id", "legs", "resolved", "duplicates", "net_c", "status", "confidence", "severity")
 
 
+@query
+def open_stories(t):
+    """Stories of one status, worst first."""
+    return story.by_severity(story.stories_with(t.verdicts, "UNRESOLVED")).select("order_id", "status", "severity")
+
+
+@query
+def edge_preview(t):
+    """The first candidate edges by cost; the limit is the feature."""
+    return evidence.preview(matching.candidate_edges(t.legs, t.lines), ["cost_c", "settlement_id", "bank_txn_id"], 100)
+
+
 @query
 def story_narrative(t):
     return story.narratives(t.verdicts, t.status).select("order_id", "part", "settlement_id", "text")

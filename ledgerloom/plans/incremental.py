@@ -16,7 +16,7 @@ from ledgerloom.operators import evidence, exceptions, replay
 from ledgerloom.operators.matching import lifecycle_match, split_match
 from ledgerloom.operators.pools import open_legs, open_lines
 from ledgerloom.operators.summary import run_counters
-from ledgerloom.runtime import durable
+from ledgerloom.runtime import durable, scratch
 from ledgerloom.sources import readers as R, schema as S, writers as W
 
 # Two versions of a leg may be open at once, so a leg is known by its ID and
@@ -60,15 +60,15 @@ def evidence_decisions(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEF
     info = legs.select("event_hash", "settlement_id", "order_id", "merchant_id", "recon_c", "settlement_date",
                        "currency", "source_amount", "exchange_rate")
     blank = F.lit("")
-    fx_reason = F.concat(F.lit("Documented FX: "), F.coalesce("source_amount", blank), F.lit(" "), "currency",
-                         F.lit(" at rate "), F.coalesce("exchange_rate", blank))
+    fx_reason = F.concat(F.lit("Expected amount given for "), F.coalesce("source_amount", blank), F.lit(" "), "currency",
+                         F.lit(" converted at "), F.coalesce("exchange_rate", blank))
     one = (
         mutual.select("settlement_id", "bank_txn_id", "match_type", "confidence_bp", "decision").join(info, "settlement_id")
         .withColumns({
             "bank_ids": F.array("bank_txn_id"),
             "reason": F.when(F.col("match_type") == texts.FX, fx_reason)
-            .when(F.col("match_type") == texts.EXACT, "Order ID, amount, and date evidence agree.")
-            .otherwise("Blocked amount/date candidate; requires review if confidence is below threshold.")}))
+            .when(F.col("match_type") == texts.EXACT, "The narration names the order; amount and day fit.")
+            .otherwise("Mutually best by amount and day, without the order's ID.")}))
 
     def grouped(links, kind, reason):
         return links.join(info, "settlement_id").withColumns({
@@ -79,9 +79,9 @@ def evidence_decisions(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEF
     decisions = (
         one.select(*_DECISION)
         .unionByName(grouped(split, texts.SPLIT, F.concat(
-            F.lit("Two bank entries sum to settlement amount ₹"), cents_text("recon_c"))).select(*_DECISION))
+            F.lit("Two lines add up to the leg's ₹"), cents_text("recon_c"))).select(*_DECISION))
         .unionByName(grouped(cycle, texts.LIFECYCLE, F.lit(
-            "Documented lifecycle adjustment balances to bank credit.")).select(*_DECISION)))
+            "Base leg and adjustments together equal one credit.")).select(*_DECISION)))
     return decisions, evidence.evidence_edges(legs_left, lines_left, cfg)
 
 
@@ -94,7 +94,22 @@ def run(
     write: bool = True,
     labels_path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """One increment; returns its tables. With ``write=False`` nothing is written."""
+    """One increment; returns its tables. With ``write=False`` nothing is appended.
+
+    Decisions are appended last. A run that dies before has decided nothing,
+    so the next one finds the same rows and adds those that are not there yet.
+    The stage tables of the run are deleted at its end, the returned ones not.
+    """
+    with scratch():
+        out = _tables(spark, inputs, warehouse, run_date, cfg, labels_path)
+        out = {name: durable(df, keep=True) for name, df in out.items()}
+    if write:
+        for name in sorted(out, key=lambda name: name == "reconciliation_decisions"):
+            W.append(out[name], warehouse, name)
+    return out
+
+
+def _tables(spark, inputs, warehouse, run_date, cfg, labels_path) -> dict[str, DataFrame]:
     legs, leg_replays = replay.dedup_events(inputs["legs"], replay.LEG_EVENT, "settlement_event")
     lines, line_replays = replay.dedup_events(inputs["lines"], replay.LINE_EVENT, "bank_event")
     day = F.lit(run_date).cast("date")
@@ -129,15 +144,14 @@ def run(
     # Rows that an earlier run recorded are not recorded again.
     keys = {"reconciliation_exceptions": ["event_hash"], "ai_review_queue": ["event_hash"],
             "ledger_exceptions": ["merchant_id", "order_id", "records"],
-            "candidate_edges": ["settlement_key", "bank_txn_id"]}
+            "candidate_edges": ["settlement_key", "bank_txn_id"], "ingestion_deduplication": ["event_hash", "copy", "event_date"],
+            "review_labels": ["settlement_id", "event_date"]}
     for name, key in keys.items():
-        if R.table_exists(spark, warehouse, name):
-            seen = R.read_table(spark, warehouse, name).select(*key).distinct()
-            out[name] = out[name].join(seen, key, "left_anti")
-    out = {name: durable(df) for name, df in out.items()} if write else out
-    if write:
-        for name, df in out.items():
-            W.append(df, warehouse, name)
+        if name in out and R.table_exists(spark, warehouse, name):
+            seen = R.read_table(spark, warehouse, name)
+            if "event_date" in key:
+                seen = seen.filter(F.col("event_date") == day)
+            out[name] = out[name].join(seen.select(*key), key, "left_anti")
     return out
 
 

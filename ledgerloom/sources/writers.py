@@ -10,25 +10,26 @@ from ledgerloom.functions.scalars import from_cents
 
 # Tables of the warehouse and their partition columns.
 TABLES = {
-    "candidate_edges": ("merchant_id", "event_date"),
+    "candidate_edges": ("event_date",),
     "ingestion_deduplication": ("entity_type", "event_date"),
-    "reconciliation_decisions": ("merchant_id", "event_date"),
-    "reconciliation_exceptions": ("merchant_id", "event_date"),
-    "ai_review_queue": ("merchant_id", "event_date"),
-    "ledger_exceptions": ("merchant_id", "event_date"),
+    "reconciliation_decisions": ("event_date",),
+    "reconciliation_exceptions": ("event_date",),
+    "ai_review_queue": ("event_date",),
+    "ledger_exceptions": ("event_date",),
     "review_labels": ("event_date",),
-    "ai_recommendations": ("merchant_id", "event_date"),
+    "ai_recommendations": ("event_date",),
 }
 
 
 def append(df: DataFrame, warehouse: str, table: str, partitions: Sequence[str] | None = None) -> None:
     """Append to a warehouse table.
 
-    Rows are first brought to their partition, else every task writes a file
-    for every merchant. AQE rebalancing splits the hot ones again.
+    Tables are partitioned by day; inside a day the rows of a merchant are
+    brought together, so that its files can be skipped, and AQE rebalancing
+    splits hot merchants and joins small ones.
     """
     columns = list(partitions or TABLES[table])
-    (df.hint("rebalance", *columns)
+    (df.hint("rebalance", *columns, *(["merchant_id"] if "merchant_id" in df.columns else []))
        .write.mode("append").partitionBy(*columns).parquet(f"{warehouse}/{table}"))
 
 

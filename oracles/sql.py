@@ -394,6 +394,9 @@ FROM (SELECT count(*) AS n, count(*) FILTER (result = 'TP') AS tp FROM scored JO
     "leg_status": "SELECT settlement_id, status, tier, match_type, confidence_pct FROM status",
     "story_timeline": _TIMELINE,
     "story_verdicts": "SELECT order_id, legs_n AS legs, resolved, duplicates, net_c, status, confidence, CASE status WHEN 'UNRESOLVED' THEN 0 WHEN 'PARTIALLY RECONCILED' THEN 1 ELSE 2 END AS severity FROM verdict_rows",
+    "open_stories": "SELECT order_id, status, 0 AS severity FROM verdict_rows WHERE status = 'UNRESOLVED'",
+    "edge_preview": f"""SELECT settlement_id, bank_txn_id, amount_diff_c, day_diff, cost_c FROM ({_edges('legs', 'lines')})
+ORDER BY cost_c, settlement_id, bank_txn_id LIMIT 100""",
     "story_narrative": _NARRATIVE,
     "story_portfolio": "SELECT status, count(*) AS stories, round(sum(confidence) / count(*), 3)::DECIMAL(5,3) AS mean_confidence FROM verdict_rows GROUP BY 1",
 }

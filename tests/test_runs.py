@@ -23,6 +23,40 @@ LINES = [("B1", 10000, 1, "NEFT/ORD1"), ("B2", 20100, 2, "CR"), ("B3", 45000, 2,
 LEDGER = "order_id string, merchant_id string, customer string, gross_c bigint, order_date date, status string, record_id string"
 
 
+def test_a_run_that_dies_between_appends_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    day, tables = "2024-03-10", lambda w: {
+        n: sorted(map(str, R.read_table(spark, w, n).collect())) for n in W.TABLES if R.table_exists(spark, w, n)}
+    clean, broken = str(tmp_path / "clean"), str(tmp_path / "broken")
+    incremental.run(spark, inputs(spark, [*LEGS, LEGS[0]]), clean, day)
+    with monkeypatch.context() as patch:
+        done = []
+
+        def append(df, warehouse, table, plain=W.append):
+            if len(done) == 3:
+                raise OSError("executors gone")
+            done.append(table)
+            plain(df, warehouse, table)
+
+        patch.setattr(W, "append", append)
+        with pytest.raises(OSError):
+            incremental.run(spark, inputs(spark, [*LEGS, LEGS[0]]), broken, day)
+    assert not R.table_exists(spark, broken, "reconciliation_decisions")
+    incremental.run(spark, inputs(spark, [*LEGS, LEGS[0]]), broken, day)
+    found = tables(clean)
+    assert tables(broken) == found and {"reconciliation_decisions", "reconciliation_exceptions", "candidate_edges"} <= set(found)
+
+
+def test_stage_tables_need_a_shared_folder_on_a_cluster():
+    from ledgerloom.runtime import scratch_root
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: {"spark.master": "spark://host:7077"}.get(key, default))
+
+    with pytest.raises(ValueError):
+        scratch_root(Session)
+
+
 def ledger(spark):
     rows = [(f"ORD{i}", "m", "c", 10000, DAY, "paid", None) for i in (1, 2, 3, 5, 6, 7)]
     return spark.createDataFrame([*rows, ("ORD1", "m", "c", 10000, DAY, "paid", "L2")], LEDGER)
