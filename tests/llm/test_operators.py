@@ -110,10 +110,51 @@ def test_simhash(docs):
             low[root[p]] = min(i, low.get(root[p], i))
     want = bag((i, p, low.get(root[p])) for (i, _), p in zip(rows, prints))
     assert bag((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(docs).collect()) == want
+
+
+def shingle_set(text):
+    w = words(lower(text))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_representatives(spark, docs):
+    docs = unique_ids(docs)
+    texts = {}
+    for k, _, t in key_of(spark, docs):
+        texts.setdefault(k, t)
+    sets = {k: shingle_set(t) for k, t in texts.items()}
+    parent = {k: k for k in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b:
+                both = len(sets[a] & sets[b])
+                if texts[a] == texts[b] or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
     stay = simhash.representatives(docs)
     assert stay.columns == docs.columns
-    ids = [r["doc_id"] for r in stay.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) - {None} == {i for i, _, c in want if i == c and i is not None}
+    found = [k for k, _, _ in key_of(spark, stay)]
+    assert len(found) == len(set(found)) and set(found) == {k for k in texts if find(k) == k}
+
+
+def test_representatives_of_edited_copies(spark):
+    draw = np.random.default_rng(8)
+    vocabulary = ["".join(draw.choice(list("abcdefghijk"), 6)) for _ in range(5000)]
+    rows = []
+    for group in range(20):
+        text = draw.choice(vocabulary, 300)
+        for copy in range(10):
+            own = text.copy()
+            own[draw.choice(300, 2, replace=False)] = draw.choice(vocabulary, 2)
+            rows.append((group * 100 + copy, " ".join(own)))
+    left = [r["doc_id"] for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {i // 100 for i in left} == set(range(20)) and len(left) <= 24
 
 
 def test_simhash_links_of_dense_groups(spark):
