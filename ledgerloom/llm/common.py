@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +22,6 @@ _random = np.random.Generator(np.random.PCG64(7))
 BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
 U64 = np.uint64
 
 #: Bytes of text that one vectorised step takes; a longer document is a step of its own.
@@ -52,12 +54,22 @@ def steps(offsets: np.ndarray, limit: int = CHUNK):
         low = high
 
 
+def kept() -> dict:
+    """What a worker process keeps from task to task.
+
+    The code travels with each task, so the state of these modules does not
+    stay; large tables in it would wait for the garbage collector.
+    """
+    return sys.modules.setdefault("_ledgerloom_kept", types.ModuleType("_ledgerloom_kept")).__dict__
+
+
 def powers(count: int, base: int = _BASE) -> np.ndarray:
-    have = _powers.get(base)
+    tables = kept().setdefault("powers", {})
+    have = tables.get(base)
     if have is None or len(have) < count:
-        have = np.full(max(count, 1 << 21), base, U64)
+        have = np.full(max(1 << 20, 1 << count.bit_length()), base, U64)
         have[0] = 1
-        have = _powers[base] = np.cumprod(have)
+        have = tables[base] = np.cumprod(have)
     return have[:count]
 
 
@@ -155,6 +167,11 @@ class Memory:
         self.work, self.most = work, most
         self._forget()
 
+    def close(self) -> None:
+        """Lets go of the words and of their owner."""
+        self._forget()
+        self.work = None
+
     def _forget(self) -> None:
         self.index: dict = {}
         self.ids, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)

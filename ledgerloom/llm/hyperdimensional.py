@@ -31,8 +31,6 @@ DIMENSIONS = 1024
 #: Sharpness of the score, a softmax of the cosines.
 SHARPNESS = 20.0
 
-_tables: dict[str, np.ndarray] = {}
-
 
 def _symbol(point: int) -> int:
     letter = chr(point).lower()[0]
@@ -42,9 +40,10 @@ def _symbol(point: int) -> int:
 
 
 def _symbols(points: np.ndarray) -> np.ndarray:
-    if "symbols" not in _tables:
-        _tables["symbols"] = np.array([_symbol(p) for p in range(1 << 16)], np.uint8)
-    found = _tables["symbols"][np.minimum(points, 0xFFFF)]
+    tables = C.kept()
+    if "symbols" not in tables:
+        tables["symbols"] = np.array([_symbol(p) for p in range(1 << 16)], np.uint8)
+    found = tables["symbols"][np.minimum(points, 0xFFFF)]
     for point in np.unique(points[points > 0xFFFF]):
         found[points == point] = _symbol(int(point))
     return found
@@ -52,12 +51,13 @@ def _symbols(points: np.ndarray) -> np.ndarray:
 
 def gram_vectors() -> np.ndarray:
     """The bound vector of every trigram, as int8."""
-    if "grams" not in _tables:
+    tables = C.kept()
+    if "grams" not in tables:
         letters = (np.random.Generator(np.random.PCG64(5)).integers(0, 2, (LETTERS, DIMENSIONS), dtype=np.int8) * 2 - 1).astype(np.int8)
         first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
         pairs = (first[:, None] * second[None]).reshape(-1, 1, DIMENSIONS)
-        _tables["grams"] = (pairs * letters[None]).reshape(-1, DIMENSIONS)
-    return _tables["grams"]
+        tables["grams"] = (pairs * letters[None]).reshape(-1, DIMENSIONS)
+    return tables["grams"]
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +110,7 @@ def train(docs: DataFrame) -> dict:
         own = rows[rows["lang"] == name]
         bundle = own["n"].to_numpy(float) @ gram_vectors()[own["gram"].to_numpy()]
         prototypes[k] = bundle / (np.linalg.norm(bundle) or 1.0)
-    _tables.clear()  # the workers build their own
+    C.kept().pop("grams", None)  # the workers build their own
     if len(names) > 1:
         prototypes -= prototypes.mean(0)
         prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)

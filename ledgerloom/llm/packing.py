@@ -208,6 +208,7 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, with
                     own = ids[bounds[i - a]: bounds[i - a + 1]].copy()
                     placed += packer.add((doc_ids[i], own), len(own))
                 yield rows(placed)
+        encode.memory.close()
         yield rows(list(packer.finish()))
 
     schema = _SCHEMA + (", ids array<int>" if with_ids else "")

@@ -179,6 +179,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"] if with_ids else names)
+        pieces.memory.close()
 
     schema = _SCHEMA + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
