@@ -175,9 +175,10 @@ def spans(docs: DataFrame, seen_limit: int = SEEN) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, seen_limit: int) -> DataFrame:
-    by_doc = spans(docs, seen_limit).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("_ll_spans"))
+    by_doc = spans(docs, seen_limit).groupBy(F.col("doc").alias("_ll_of")).agg(
+        F.collect_list(F.struct("start", "n")).alias("_ll_spans"))
     keyed = docs.withColumn("_ll_doc", C.doc_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(by_doc, F.col("_ll_doc") == F.col("doc"), "left").drop("doc", "_ll_doc")
+    return keyed.join(by_doc, F.col("_ll_doc") == F.col("_ll_of"), "left").drop("_ll_of", "_ll_doc")
 
 
 def _kept(text: bytes | None, found) -> tuple[list[bytes], int]:
