@@ -224,33 +224,89 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b in zip(offsets[:-1], offsets[1:]):
             hashes = _word_hashes(data[a:b])
             sets.append(np.unique(C.mix(C.rolling(hashes, min(SHINGLE, max(1, len(hashes)))))).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("block"), batch.column("id"), pa.array(sets, pa.binary())], names=["block", "id", "shingles"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("first").to_pylist(), batch.column("second").to_pylist()):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(a) + len(b) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one range after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def near_texts(docs: DataFrame) -> DataFrame:
-    """id, text_hash, root of every row: texts of at least ``SIMILAR`` shingle sets share the root, the smallest ID.
+def _verified(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of at least ``SIMILAR`` that connect the sets as all such pairs do.
 
-    A fingerprint of the distinct words moves less under scattered edits than
-    one of shingles; it takes some of them, with differing seeds, to find
-    nearly every similar pair (99 of 100 with three, measured). Each candidate
-    pair is verified by its shingle sets. Equal texts need no search. In a
-    group of more than 64 fingerprints the verified links are those of its
-    forest.
+    A set leaves ``left`` over a verified pair only, and is then compared with
+    all that are left. Two sets that similar share one of the ``prefix`` rarest
+    items of each, so sets that share none of them need no comparison.
     """
-    slim = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, prints array<long>"))
-    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "prints")).alias("low")).select(
-        "text_hash", F.col("low.id").alias("id"), F.col("low.prints").alias("prints")))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start, none = np.cumsum(size) - size, np.flatnonzero(size == 0)
+    found = [(np.full(len(none) - 1, none[0]), none[1:])] if len(none) > 1 else []
+    _, items, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(count, kind="stable")
+    rank = np.empty_like(order)
+    rank[order], count = np.arange(len(order)), count[order]
+    owner = np.repeat(np.arange(len(sets)), size)
+    items = np.sort(owner * len(count) + rank[items]) - owner * len(count)  # in each set the rarest come first
+    prefix = size - np.ceil(SIMILAR * size - 1e-6).astype(np.int64) + 1
+    rare = np.flatnonzero((np.arange(len(items)) - start[owner] < prefix[owner]) & (count[items] > 1))
+    own, low = items[rare], np.searchsorted(owner[rare], np.arange(len(sets) + 1))
+    by = np.argsort(own, kind="stable")
+    what, who = own[by], owner[rare][by]
+    left, marked = size > 0, np.zeros(len(count), bool)
+    indexed = int(left.sum())
+    for first in range(len(sets)):
+        todo, left[first] = [first] if left[first] else [], False
+        while todo:
+            node = todo.pop()
+            mine = own[low[node]: low[node + 1]]
+            begin = np.searchsorted(what, mine)
+            near = who[_ranges(begin, np.searchsorted(what, mine, "right") - begin)]
+            near = np.unique(near[left[near]])
+            if not len(near):
+                continue
+            mine = items[start[node]: start[node] + size[node]]
+            marked[mine] = True
+            ends = np.cumsum(size[near])
+            for a, b in C.steps(np.r_[0, ends]):
+                some = near[a:b]
+                both = np.add.reduceat(marked[items[_ranges(start[some], size[some])]], np.cumsum(size[some]) - size[some], dtype=np.int64)
+                some = some[both >= SIMILAR * (size[some] + size[node] - both)]
+                left[some] = False
+                found.append((np.full(len(some), node), some))
+                todo.extend(some.tolist())
+            marked[mine] = False
+            if 2 * (now := int(left.sum())) < indexed:
+                stays = left[who]
+                what, who, indexed = what[stays], who[stays], now
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links inside the groups of equal keys; the rows stand in key order."""
+    key, ids, sets = None, [], []
+
+    def links():
+        a, b = _verified(sets) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
+        named = np.array(ids, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
+
+    for batch in batches:
+        for k, i, s in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
+            if k != key:
+                if len(sets) > 1:
+                    yield links()
+                key, ids, sets = k, [], []
+            ids.append(i)
+            sets.append(np.frombuffer(s, np.uint64))
+    yield links()
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of IDs that connect all texts with a near or equal fingerprint."""
     pairs = None
     for k in range(SEEDS):
         named = texts.select("id", F.col("prints")[k].alias("fp"))
@@ -259,20 +315,31 @@ def near_texts(docs: DataFrame) -> DataFrame:
         found = (
             near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
             .join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
-            .select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+            .select(F.col("ha").alias("a"), F.col("hb").alias("b"))
             .unionByName(named.join(heads.where("n > 1"), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
         pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = durable(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(
-        texts.select("id", "text_hash"), "id")
-    sets = slim.join(wanted.withColumnRenamed("text_hash", "h"), "id").where("text_hash = h").select("id", "text").mapInArrow(
-        _shingle_sets, "id long, shingles binary")
-    sets = durable(sets.groupBy("id").agg(F.first("shingles").alias("shingles")))
-    verified = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("first")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("second")), "b")
-        .select("a", "b", "first", "second").mapInArrow(_similar, "a long, b long"))
-    roots = C.components(durable(verified))
+    return pairs
+
+
+def near_texts(docs: DataFrame) -> DataFrame:
+    """id, text_hash, root of every row: texts of at least ``SIMILAR`` shingle sets share the root, the smallest ID.
+
+    A fingerprint of the distinct words moves less under scattered edits than
+    one of shingles, so texts are candidates by some of them, with differing
+    seeds. Whatever candidates connect is one block; inside it every text
+    meets every other, and only pairs verified by their shingle sets link.
+    Equal texts need no search.
+    """
+    slim = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, prints array<long>"))
+    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "prints")).alias("low")).select(
+        "text_hash", F.col("low.id").alias("id"), F.col("low.prints").alias("prints")))
+    blocks = C.components(_candidates(texts)).select(F.col("node").alias("id"), F.col("root").alias("block"))
+    wanted = texts.select("id", F.col("text_hash").alias("h")).join(blocks, "id")
+    sets = slim.join(wanted, "id").where("text_hash = h").select("block", "id", "text").mapInArrow(
+        _shingle_sets, "block long, id long, shingles binary")
+    keyed = sets.withColumnRenamed("block", "key").repartition("key").sortWithinPartitions("key", "id")
+    roots = C.components(durable(keyed.mapInArrow(_set_links, "a long, b long")))
     named = texts.join(roots.withColumnRenamed("node", "id"), "id", "left").select("text_hash", F.coalesce("root", "id").alias("root"))
     return rows.select("id", "text_hash").join(named, "text_hash")
 

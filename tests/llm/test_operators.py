@@ -157,6 +157,46 @@ def test_representatives_of_edited_copies(spark):
     assert {i // 100 for i in left} == set(range(20)) and len(left) <= 24
 
 
+def same_groups(spark, texts):
+    """The pipeline's stage keeps what brute force at 0.8 keeps."""
+    sets = [shingle_set(t) for t in texts]
+    edges = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["root"] for r in simhash.near_texts(docs).collect()}
+    assert found == {i: find(i) for i in range(len(texts))}
+
+
+def test_copies_below_the_limit_of_one_another_meet_over_their_original(spark):
+    """All three hold the same words, so their fingerprints are equal and the copy with the smallest ID is their head."""
+    draw = np.random.default_rng(11)
+    texts = []
+    for group in range(10):
+        own = [f"w{group}x{i}" for i in range(60)]
+        text = list(draw.permutation(own * 5))
+
+        def swapped(low):
+            copy = text.copy()
+            for at in range(low, low + 50, 10):
+                copy[at], copy[at + 1] = copy[at + 1], copy[at]
+            return " ".join(copy)
+
+        texts += [swapped(0), " ".join(text), swapped(150)]
+    sets = [shingle_set(t) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(i, i + 1) >= 0.8 and like(i + 1, i + 2) >= 0.8 > like(i, i + 2) for i in range(0, 30, 3))
+    same_groups(spark, texts)
+
+
 def test_simhash_links_of_dense_groups(spark):
     draw = np.random.default_rng(1)
     centres = draw.integers(0, 2**63, 3)
