@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Fingerprints of a text's distinct words, words of a shingle, least similarity of the shingle sets.
 SEEDS, SHINGLE, SIMILAR = 3, 5, 0.8
+#: Words of a block of candidates that one group takes; a larger block is compared in pairs of its parts.
+BLOCK_WORDS = 2_000_000
 
 
 def _word_hashes(data: np.ndarray) -> np.ndarray:
@@ -208,13 +210,14 @@ def _majority(hashes: np.ndarray) -> int:
 def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
-        found = np.zeros((len(batch), SEEDS), np.uint64)
+        found, count = np.zeros((len(batch), SEEDS), np.uint64), np.zeros(len(batch), np.int64)
         for i in range(len(batch)):
-            hashes = np.unique(_word_hashes(data[offsets[i]: offsets[i + 1]]))
+            hashes = _word_hashes(data[offsets[i]: offsets[i + 1]])
+            count[i], hashes = len(hashes), np.unique(hashes)
             found[i] = [_majority(C.mix(hashes ^ C.U64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))) for k in range(SEEDS)]
         prints = pa.FixedSizeListArray.from_arrays(pa.array(C.signed(found.ravel())), SEEDS).cast(pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("text_hash"), prints], names=["id", "text_hash", "prints"])
+            [batch.column("id"), batch.column("text_hash"), pa.array(count), prints], names=["id", "text_hash", "words", "prints"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +228,8 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hashes = _word_hashes(data[a:b])
             sets.append(np.unique(C.mix(C.rolling(hashes, min(SHINGLE, max(1, len(hashes)))))).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("id"), pa.array(sets, pa.binary())], names=["block", "id", "shingles"])
+            [batch.column("block"), batch.column("parts"), batch.column("id"), pa.array(sets, pa.binary())],
+            names=["block", "parts", "id", "shingles"])
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -321,24 +325,29 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_texts(docs: DataFrame) -> DataFrame:
+def near_texts(docs: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
     """id, text_hash, root of every row: texts of at least ``SIMILAR`` shingle sets share the root, the smallest ID.
 
     A fingerprint of the distinct words moves less under scattered edits than
     one of shingles, so texts are candidates by some of them, with differing
     seeds. Whatever candidates connect is one block; inside it every text
     meets every other, and only pairs verified by their shingle sets link.
-    Equal texts need no search.
+    A block of more than ``limit`` words is dealt into parts, and each pair of
+    parts is a group of its own. Equal texts need no search.
     """
     slim = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, prints array<long>"))
-    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "prints")).alias("low")).select(
-        "text_hash", F.col("low.id").alias("id"), F.col("low.prints").alias("prints")))
+    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, words long, prints array<long>"))
+    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "words", "prints")).alias("low")).select("text_hash", "low.*"))
     blocks = C.components(_candidates(texts)).select(F.col("node").alias("id"), F.col("root").alias("block"))
-    wanted = texts.select("id", F.col("text_hash").alias("h")).join(blocks, "id")
-    sets = slim.join(wanted, "id").where("text_hash = h").select("block", "id", "text").mapInArrow(
-        _shingle_sets, "block long, id long, shingles binary")
-    keyed = sets.withColumnRenamed("block", "key").repartition("key").sortWithinPartitions("key", "id")
+    wanted = durable(texts.select("id", "words", F.col("text_hash").alias("h")).join(blocks, "id"))
+    large = wanted.groupBy("block").agg(F.ceil(2 * F.sum("words") / limit).cast("int").alias("parts")).where("parts > 2")
+    wanted = wanted.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sets = slim.join(wanted, "id").where("text_hash = h").select("block", "parts", "id", "text").mapInArrow(
+        _shingle_sets, "block long, parts int, id long, shingles binary")
+    split = sets.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.select(F.xxhash64("block", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "shingles")
+    keyed = split.repartition("key").sortWithinPartitions("key", "id")
     roots = C.components(durable(keyed.mapInArrow(_set_links, "a long, b long")))
     named = texts.join(roots.withColumnRenamed("node", "id"), "id", "left").select("text_hash", F.coalesce("root", "id").alias("root"))
     return rows.select("id", "text_hash").join(named, "text_hash")

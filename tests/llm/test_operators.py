@@ -157,7 +157,7 @@ def test_representatives_of_edited_copies(spark):
     assert {i // 100 for i in left} == set(range(20)) and len(left) <= 24
 
 
-def same_groups(spark, texts):
+def same_groups(spark, texts, limit=simhash.BLOCK_WORDS):
     """The pipeline's stage keeps what brute force at 0.8 keeps."""
     sets = [shingle_set(t) for t in texts]
     edges = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -172,7 +172,7 @@ def same_groups(spark, texts):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["id"]: r["root"] for r in simhash.near_texts(docs).collect()}
+    found = {r["id"]: r["root"] for r in simhash.near_texts(docs, limit).collect()}
     assert found == {i: find(i) for i in range(len(texts))}
 
 
@@ -197,6 +197,24 @@ def test_copies_below_the_limit_of_one_another_meet_over_their_original(spark):
     same_groups(spark, texts)
 
 
+@pytest.mark.parametrize("limit", [simhash.BLOCK_WORDS, 20_000])
+def test_five_hundred_copies_of_one_original(spark, limit):
+    """Most lie below 0.8 of one another and at 0.8 to 0.9 of the original, which has the highest ID."""
+    draw = np.random.default_rng(12)
+    text = list(draw.permutation([f"w{i}" for i in range(60)] * 5))
+    texts = []
+    for copy in range(500):
+        own = text.copy()
+        for at in draw.choice(59, draw.integers(3, 6), replace=False) * 5:
+            own[at], own[at + 1] = own[at + 1], own[at]
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts)) + [" ".join(text)]
+    sets = [shingle_set(t) for t in texts]
+    like = [len(s & sets[-1]) / len(s | sets[-1]) for s in sets]
+    assert min(like) >= 0.8 and len(texts) > 450
+    same_groups(spark, texts, limit)
+
+
 def test_simhash_links_of_dense_groups(spark):
     draw = np.random.default_rng(1)
     centres = draw.integers(0, 2**63, 3)
