@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: Fingerprints of a text's distinct words, words of a shingle, least similarity of the shingle sets.
 SEEDS, SHINGLE, SIMILAR = 3, 5, 0.8
+#: Keys of the shingle set: each of so many hashes' least values. A pair at 0.8 shares none with a chance of (1 - 0.8^4)^32 = 5e-8.
+KEYS, LEAST = 32, 4
 #: Words of a block of candidates that one group takes; a larger block is compared in pairs of its parts.
 BLOCK_WORDS = 2_000_000
 
@@ -207,17 +209,34 @@ def _majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def _shingles(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(C.mix(C.rolling(hashes, min(SHINGLE, max(1, len(hashes))))))
+
+
+def _keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for every ``LEAST`` of the least values of the shingles under seeded hashes."""
+    seeds = C.mix(np.arange(1, KEYS * LEAST + 1, dtype=np.uint64) * C.U64(0x9E3779B97F4A7C15)) | C.U64(1)
+    least = np.full(len(seeds), 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        np.minimum(least, np.multiply.outer(seeds, shingles[at: at + 2048]).min(1), out=least)
+    return C.mix(C.rolling(C.mix(least), LEAST)[::LEAST] + np.arange(KEYS, dtype=np.uint64))
+
+
 def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         found, count = np.zeros((len(batch), SEEDS), np.uint64), np.zeros(len(batch), np.int64)
+        keys = np.zeros((len(batch), KEYS), np.uint64)
         for i in range(len(batch)):
             hashes = _word_hashes(data[offsets[i]: offsets[i + 1]])
-            count[i], hashes = len(hashes), np.unique(hashes)
+            count[i], keys[i] = len(hashes), _keys(_shingles(hashes))
+            hashes = np.unique(hashes)
             found[i] = [_majority(C.mix(hashes ^ C.U64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))) for k in range(SEEDS)]
-        prints = pa.FixedSizeListArray.from_arrays(pa.array(C.signed(found.ravel())), SEEDS).cast(pa.list_(pa.int64()))
+        prints, keys = (
+            pa.FixedSizeListArray.from_arrays(pa.array(C.signed(x.ravel())), x.shape[1]).cast(pa.list_(pa.int64())) for x in (found, keys))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("text_hash"), pa.array(count), prints], names=["id", "text_hash", "words", "prints"])
+            [batch.column("id"), batch.column("text_hash"), pa.array(count), prints, keys],
+            names=["id", "text_hash", "words", "prints", "keys"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +244,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, offsets = C.flat(batch.column("text"))
         sets = []
         for a, b in zip(offsets[:-1], offsets[1:]):
-            hashes = _word_hashes(data[a:b])
-            sets.append(np.unique(C.mix(C.rolling(hashes, min(SHINGLE, max(1, len(hashes)))))).tobytes())
+            sets.append(_shingles(_word_hashes(data[a:b])).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("block"), batch.column("parts"), batch.column("id"), pa.array(sets, pa.binary())],
             names=["block", "parts", "id", "shingles"])
@@ -310,8 +328,10 @@ def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of IDs that connect all texts with a near or equal fingerprint."""
-    pairs = None
+    """Pairs (a, b) of IDs that connect all texts with a near or equal fingerprint or an equal key."""
+    keyed = durable(texts.select("id", F.explode("keys").alias("key")))
+    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
+    pairs = keyed.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     for k in range(SEEDS):
         named = texts.select("id", F.col("prints")[k].alias("fp"))
         heads = durable(named.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n")))
@@ -321,7 +341,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
             .join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b")
             .select(F.col("ha").alias("a"), F.col("hb").alias("b"))
             .unionByName(named.join(heads.where("n > 1"), "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))))
-        pairs = found if pairs is None else pairs.unionByName(found)
+        pairs = pairs.unionByName(found)
     return pairs
 
 
@@ -330,14 +350,15 @@ def near_texts(docs: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
 
     A fingerprint of the distinct words moves less under scattered edits than
     one of shingles, so texts are candidates by some of them, with differing
-    seeds. Whatever candidates connect is one block; inside it every text
+    seeds. A block of other text moves them too far, so the least hashes of the
+    shingles, which any pair at ``SIMILAR`` shares, find candidates too. Whatever candidates connect is one block; inside it every text
     meets every other, and only pairs verified by their shingle sets link.
     A block of more than ``limit`` words is dealt into parts, and each pair of
     parts is a group of its own. Equal texts need no search.
     """
     slim = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, words long, prints array<long>"))
-    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "words", "prints")).alias("low")).select("text_hash", "low.*"))
+    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, words long, prints array<long>, keys array<long>"))
+    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "words", "prints", "keys")).alias("low")).select("text_hash", "low.*"))
     blocks = C.components(_candidates(texts)).select(F.col("node").alias("id"), F.col("root").alias("block"))
     wanted = durable(texts.select("id", "words", F.col("text_hash").alias("h")).join(blocks, "id"))
     large = wanted.groupBy("block").agg(F.ceil(2 * F.sum("words") / limit).cast("int").alias("parts")).where("parts > 2")

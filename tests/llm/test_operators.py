@@ -215,6 +215,29 @@ def test_five_hundred_copies_of_one_original(spark, limit):
     same_groups(spark, texts, limit)
 
 
+def edited_pairs(seed, count):
+    """Texts and their copies with other text appended, the end replaced or dropped, or scattered words changed."""
+    draw = np.random.default_rng(seed)
+    prose = lambda n: [f"v{x}" for x in draw.integers(0, 4000, n)]
+    for i in range(count):
+        text = prose(int(draw.integers(100, 500)))
+        n = len(text)
+        scattered = text.copy()
+        for at in draw.choice(n, max(1, n // 60), replace=False):
+            scattered[at] = prose(1)[0]
+        kind = ("appended", "replaced", "dropped", "scattered")[i % 4]
+        yield kind, " ".join(text), " ".join({
+            "appended": text + prose(n * 18 // 100), "replaced": text[: -n * 8 // 100] + prose(n * 8 // 100),
+            "dropped": text[: -n * 15 // 100], "scattered": scattered}[kind])
+
+
+def test_blocks_of_edits_are_found(spark):
+    texts = [t for _, text, copy in edited_pairs(13, 200) for t in (text, copy)]
+    sets = [shingle_set(t) for t in texts]
+    assert sum(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])) > 180
+    same_groups(spark, texts)
+
+
 def test_simhash_links_of_dense_groups(spark):
     draw = np.random.default_rng(1)
     centres = draw.integers(0, 2**63, 3)
