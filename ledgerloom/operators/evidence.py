@@ -12,6 +12,7 @@ from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import direction, is_fx, names_order
 from ledgerloom.operators.cells import cells
 from ledgerloom.operators.matching import amount_date_edges, named_pairs, said
+from ledgerloom.operators.ranks import ranked
 from ledgerloom.runtime import durable
 
 _SCOPE = ["merchant_id", "payment_rail", "direction"]
@@ -51,13 +52,10 @@ def _order(other: str) -> list[Column]:
 
 
 def candidate_ranks(edges: DataFrame) -> DataFrame:
-    """Rank of each edge among its leg's and among its line's candidates."""
-    def rank(of, other):
-        return F.row_number().over(Window.partitionBy(of).orderBy(*_order(other)))
-
-    return edges.withColumns({
-        "settlement_rank": rank("settlement_id", "bank_txn_id"),
-        "bank_rank": rank("bank_txn_id", "settlement_id")})
+    """Rank of each edge among its leg's and among its line's candidates, however many these are."""
+    marked = edges.withColumn("_no_id", ~F.col("has_id"))
+    by_leg = ranked(marked, ["settlement_id"], ["_no_id", "cost_c", "bank_txn_id"], "settlement_rank")
+    return ranked(by_leg, ["bank_txn_id"], ["_no_id", "cost_c", "settlement_id"], "bank_rank").drop("_no_id")
 
 
 def edge_audit(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def assign(candidates: DataFrame, left_rows, right_rows, pairs: bool = False) ->
     cell). ``left_rows`` and ``right_rows`` are the arguments of
     ``cells.members`` for their side, or None where every cell is one row.
     """
-    return _expand(links_of_cells(candidates, pairs), left_rows, right_rows, pairs)
+    return expand(links_of_cells(candidates, pairs), left_rows, right_rows, pairs)
 
 
 def links_of_cells(candidates: DataFrame, pairs: bool = False) -> DataFrame:
@@ -95,7 +95,7 @@ WHERE left_n > left_used AND right_n - right_used >= CASE WHEN `right` = right2
 _SECOND_END = "LEFT JOIN used c ON c.node = concat('R', right2)"
 
 
-def _expand(segments: DataFrame, left_rows, right_rows, pairs: bool) -> DataFrame:
+def expand(segments: DataFrame, left_rows, right_rows, pairs: bool) -> DataFrame:
     """From cell links back to identifiers, by rank."""
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("links") - 1) / _CHUNK).cast("bigint")))
     step = F.explode(F.sequence(

@@ -13,7 +13,8 @@ from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import confidence_pct, cost_cents, fx_admissible, names_order, ref_key, ref_tokens
 from ledgerloom.operators.bands import band_join
 from ledgerloom.operators.cells import cells
-from ledgerloom.operators.greedy import assign
+from ledgerloom.operators import twosum
+from ledgerloom.operators.greedy import assign, expand
 from ledgerloom.operators.pools import one_line_links, with_direction
 from ledgerloom.runtime import durable
 
@@ -214,15 +215,14 @@ def split_candidates(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAU
 
 
 def split_match(legs: DataFrame, lines: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
+    """Legs paid by two lines, chosen over a two-sum index; triples are never stored."""
     leg_rows, line_rows = leg_pool(legs), line_pool(lines)
-    leg_cells = cells(leg_rows, _LEG_KEYS, "settlement_id", "left", "left_n")
-    line_cells = cells(line_rows, _LINE_KEYS, "bank_txn_id", "right", "right_n")
-    candidates = (
-        split_edges(durable(leg_cells), durable(line_cells), cfg)
-        .select(F.lit(0).cast("bigint").alias("cost"), "left", "left_n",
-                F.col("right1").alias("right"), F.col("right_n1").alias("right_n"),
-                "right2", F.col("right_n2").alias("right2_n"), _info()))
-    chosen = _settle(candidates, leg_rows, leg_cells, _LEG_KEYS, line_rows, line_cells, _LINE_KEYS, pairs=True)
+    leg_cells = durable(cells(leg_rows, _LEG_KEYS, "settlement_id", "left", "left_n"))
+    line_cells = durable(cells(line_rows, _LINE_KEYS, "bank_txn_id", "right", "right_n"))
+    segments = twosum.choose(split_edges(leg_cells, line_cells, cfg), leg_cells, line_cells, cfg)
+    chosen = expand(
+        segments, (leg_rows, leg_cells, _LEG_KEYS, "settlement_id", "left", "left_n"),
+        (line_rows, line_cells, _LINE_KEYS, "bank_txn_id", "right", "right_n"), pairs=True)
     return chosen.select(
         F.col("left_id").alias("settlement_id"),
         F.array_sort(F.array("right_id", "right_id2")).alias("bank_ids"),
