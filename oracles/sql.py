@@ -255,6 +255,37 @@ FROM (SELECT *, regexp_extract(settlement_id, '^SETL([0-9]+)-', 1)::BIGINT AS kk
 FROM edges e JOIN reviewed r ON r.settlement_id = e.settlement_id AND r.approved = 'True'"""),
 ]
 
+#: Newton steps written out; later ones change nothing.
+STEPS = 12
+
+
+def _newton() -> list[tuple[str, str]]:
+    """Logistic regression with a ridge of 1 on all but the intercept: sums by kind, then elimination, step by step."""
+    def columns(width):
+        return [(j, k) for j in range(4) for k in range(width)]
+
+    out = [("kinds", """SELECT 1::DOUBLE AS x0, amount_diff_c::DOUBLE / 100 AS x1, day_diff::DOUBLE AS x2, has_id::INT::DOUBLE AS x3,
+  count(*)::DOUBLE AS n, sum(label)::DOUBLE AS y FROM training GROUP BY ALL"""),
+           ("newton0", "SELECT " + ", ".join(f"0::DOUBLE AS w{j}" for j in range(4)))]
+    for i in range(STEPS):
+        system = ", ".join(
+            [f"sum(v * x{j} * x{k}) + {int(j == k and j > 0)} AS a{j}{k}" for j, k in columns(4)]
+            + [f"sum(r * x{j}) - {int(j > 0)} * any_value(w{j}) AS a{j}4" for j in range(4)] + [f"any_value(w{j}) AS w{j}" for j in range(4)])
+        text = f"""SELECT {system} FROM (SELECT *, n * p * (1 - p) AS v, y - n * p AS r
+  FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2 + w3 * x3))) AS p FROM kinds, newton{i}))"""
+        for c in range(3):
+            text = "SELECT " + ", ".join(
+                [f"a{j}{k} - a{j}{c} / a{c}{c} * a{c}{k} AS a{j}{k}" if j > c else f"a{j}{k}" for j, k in columns(5)]
+                + [f"w{j}" for j in range(4)]) + f" FROM ({text})"
+        for j in (3, 2, 1, 0):
+            rest = "".join(f" - a{j}{k} * d{k}" for k in range(j + 1, 4))
+            text = f"SELECT *, (a{j}4{rest}) / a{j}{j} AS d{j} FROM ({text})"
+        out.append((f"newton{i + 1}", "SELECT " + ", ".join(f"w{j} + d{j} AS w{j}" for j in range(4)) + f" FROM ({text})"))
+    return out
+
+
+EVIDENCE += _newton()
+
 _KEY = "regexp_extract(settlement_id, '^SETL([0-9]+)-', 1)::BIGINT"
 _EVENT = "concat_ws('|', merchant_id, payment_rail, settlement_id, order_id, type, currency, {net}::VARCHAR, recon_c::VARCHAR, settlement_date::VARCHAR)"
 _HASH = f"sha256({_EVENT.format(net='net_c')})"
@@ -381,6 +412,11 @@ LEFT JOIN (SELECT min(s.settlement_id) AS settlement_id, b.bank_txn_id, least(ar
   CASE {_KEY} % 4 WHEN 0 THEN 'closest' WHEN 1 THEN 'no evidence' WHEN 2 THEN {_quote(texts.GATE_UNKNOWN_ID)} ELSE {_quote(texts.GATE_MALFORMED)} END AS reason,
   {_quote(texts.ADVICE)} AS decision FROM queue""",
     "ranker_training_set": "SELECT * FROM training",
+    "ranker_scores": f"""SELECT settlement_id, bank_txn_id, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY settlement_id ORDER BY score DESC, bank_txn_id) AS model_rank
+FROM (SELECT settlement_id, bank_txn_id, 1 / (1 + exp(-(w0 + w1 * (amount_diff_c::DOUBLE / 100) + w2 * day_diff + w3 * has_id::INT))) AS score
+  FROM (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY cost_c, bank_txn_id) AS place FROM edges
+        WHERE settlement_id IN (SELECT settlement_id FROM queue)), newton{STEPS} WHERE place <= 5)""",
     "ranker_class_balance": "SELECT label, count(*) AS examples FROM training GROUP BY 1",
     "evaluation_outcomes": "SELECT settlement_id, expected_outcome, result FROM scored",
     "precision_recall": """SELECT count(*) AS total_records, tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives, forced AS incorrect_forced_matches,
