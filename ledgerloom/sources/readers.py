@@ -11,7 +11,7 @@ from ledgerloom.config import DEFAULT, MatchConfig
 from ledgerloom.functions.scalars import (
     as_bool, as_date, blank_to, epoch_date, from_minor, id_set, map_type, money, net_minor, recon_amount, to_cents,
 )
-from ledgerloom.sources import schema as S
+from ledgerloom.sources import runs, schema as S
 
 
 def read_source(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
@@ -63,6 +63,14 @@ def rejected_rows(df: DataFrame, source: str, id_col: str, amounts: Sequence[str
         .select("source", "row_id", "bad.column", "bad.raw"))
 
 
+#: Amount and date columns of each source, for ``rejected_rows``.
+CHECKED = {
+    "order_ledger": ("order_id", ["gross_amount"], ["order_date"]),
+    "settlements": ("settlement_id", ["gross_amount", "fee", "tax", "net_amount", "expected_bank_amount"], ["settlement_date"]),
+    "bank": ("bank_txn_id", ["amount"], ["value_date"]),
+}
+
+
 def conform_settlements(df: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     full = _complete(df, S.SETTLEMENT, cfg)
     return full.select(
@@ -116,17 +124,15 @@ def read_settlement_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_table(spark: SparkSession, warehouse: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{warehouse}/{table}")
+    """The rows of committed runs; all rows of a table that knows no runs."""
+    df = spark.read.parquet(f"{warehouse}/{table}")
+    if "run_id" not in df.columns:
+        return df
+    return df.filter(F.col("run_id").isin([c.run_id for c in runs.commits(spark, warehouse)])).drop("run_id")
 
 
 def table_exists(spark: SparkSession, warehouse: str, table: str) -> bool:
-    try:
-        read_table(spark, warehouse, table)
-        return True
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
+    return runs.exists(spark, f"{warehouse}/{table}")
 
 
 def ingest_labels(spark: SparkSession, path: str, run_date: str) -> DataFrame | None:

@@ -18,6 +18,11 @@ TABLES = {
     "ledger_exceptions": ("event_date",),
     "review_labels": ("event_date",),
     "ai_recommendations": ("event_date",),
+    "candidate_scores": ("event_date",),
+    "rejected_rows": ("event_date",),
+    "duplicate_ids": ("event_date",),
+    "decided_keys": ("key_day",),
+    "used_lines": (),
 }
 
 
@@ -26,9 +31,12 @@ def append(df: DataFrame, warehouse: str, table: str, partitions: Sequence[str]
 
     Tables are partitioned by day; inside a day the rows of a merchant are
     brought together, so that its files can be skipped, and AQE rebalancing
-    splits hot merchants and joins small ones.
+    splits hot merchants and joins small ones. Rows with a ``run_id`` are
+    visible once that run is committed (see ``runs``).
     """
     columns = list(partitions or TABLES[table])
+    if "run_id" in df.columns:
+        columns.insert(0, "run_id")
     (df.hint("rebalance", *columns, *(["merchant_id"] if "merchant_id" in df.columns else []))
        .write.mode("append").partitionBy(*columns).parquet(f"{warehouse}/{table}"))
 

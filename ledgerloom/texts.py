@@ -86,3 +86,6 @@ CATEGORY_OTHER = "Insufficient evidence"
 CASE_DUPLICATE, CASE_AMBIGUOUS, CASE_MISSING = "Duplicate", "Ambiguous candidate", "Missing bank transaction"
 CASE_SPLIT_REFUND, CASE_PARTIAL_REFUND, CASE_LIFECYCLE = "Split refund", "Partial refund", "Lifecycle adjustment"
 CASE_DELAYED, CASE_DISCREPANCY, CASE_NORMAL = "Delayed settlement", "Small amount discrepancy", "Normal match"
+
+# States of the exception register.
+OPEN, RESOLVED, SUPERSEDED = "OPEN", "RESOLVED", "SUPERSEDED"
