@@ -110,6 +110,16 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each word and the distinct words by number."""
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    letters = np.ascontiguousarray(data[~SPACE[data]])
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 def rolling(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` items, not yet mixed."""
     count = len(h) - size + 1

@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ LIMITS = (2048, 256, 2048)
 END = 1
 #: Documents that wait for a place, and words a worker remembers.
 WAITING, REMEMBERED = 256, 800_000
+PLAIN = re.compile(rb"([a-z]+)([.,;:!?]*)").fullmatch
 
 
 class WordEncoder:
@@ -55,11 +57,15 @@ class WordEncoder:
         stems: dict[str, list[int]] = {}
         split, other = [], {}
         for word in words:
-            stem = word.rstrip(b".,;:!?")
-            text = stem.decode()
-            if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+            if plain := PLAIN(word):
+                stem, tail = plain.groups()
+                text, lower = stem.decode(), True
+            else:
+                stem = word.rstrip(b".,;:!?")
+                text, tail = stem.decode(), word[len(stem):]
+                lower = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            if lower:
                 stems[text] = []
-                tail = word[len(stem):]
                 if tail and tail not in self.tails:
                     self.tails[tail] = self._full([tail.decode()])[0]
                 split.append((text, tail))
@@ -75,12 +81,14 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """IDs of all texts, each with its end token, and the offsets of each."""
-        _, _, before = C.words(data, offsets)
-        raw, at = data.tobytes(), offsets.tolist()
-        text = b"\n".join(raw[a:b] for a, b in zip(at[:-1], at[1:]))
         # lower case comes first, but for the names of special tokens, which it would change
-        words = (text if b"<|" in text else text.lower()).split()
-        found, length = self.memory(words)
+        if not ((data[:-1] == 60) & (data[1:] == 124)).any():
+            data = C.LOWER[data]
+        starts, ends, before = C.words(data, offsets)
+        which, words = C.distinct(data, starts, ends)
+        found, sizes = self.memory(words)
+        length, first = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        found = found[np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
         bounds = C.per_document(length, before)
         bounds = np.r_[0, np.cumsum(bounds + 1)]
         ids = np.full(bounds[-1], END, np.uint32)
@@ -181,7 +189,8 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, with
     """One row per piece; ``with_ids`` adds its token IDs (``ids``). All tokens of a document bear loss."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = WordEncoder(path), Packer(limits)
+        encoders = C.kept().setdefault("word_encoders", {})
+        encode, packer = encoders.get(path) or encoders.setdefault(path, WordEncoder(path)), Packer(limits)
         base = TaskContext.get().partitionId() << 33
 
         def rows(placed) -> pa.RecordBatch:
@@ -208,7 +217,6 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, with
                     own = ids[bounds[i - a]: bounds[i - a + 1]].copy()
                     placed += packer.add((doc_ids[i], own), len(own))
                 yield rows(placed)
-        encode.memory.close()
         yield rows(list(packer.finish()))
 
     schema = _SCHEMA + (", ids array<int>" if with_ids else "")
