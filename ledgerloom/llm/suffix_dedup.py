@@ -34,7 +34,7 @@ from ledgerloom.runtime import durable
 
 LENGTH, GRAM = 200, 32
 #: Bytes of one shard, and of the largest group that a shard takes.
-SHARD_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, GROUP_BYTES = 2 << 20, 4 << 20
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -53,7 +53,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, size: int) -
     count = np.bincount(text, minlength=size)
     end = np.cumsum(count)
     start = end - count
-    array = np.full(len(text), -1, np.int64)
+    array = np.full(len(text), -1, np.int32)
     order, rank = _ranks_within(text[seeds])
     seeds = seeds[order]
     seeded = np.bincount(text[seeds], minlength=size)
@@ -109,14 +109,16 @@ def _doubled(names: np.ndarray) -> np.ndarray:
 
 def suffix_array(letters: np.ndarray, size: int) -> np.ndarray:
     """Order of all suffixes of ``letters`` (0 <= letter < size) by induced sorting."""
-    text = np.append(letters.astype(np.int64) + 1, 0)
+    text = np.zeros(len(letters) + 1, np.int32)
+    np.add(letters, 1, out=text[:-1], casting="unsafe")
     size += 1
     n = len(text)
-    step = np.sign(np.diff(text))
-    known = np.where(step != 0, np.arange(n - 1), n - 1)
-    following = np.minimum.accumulate(known[::-1])[::-1]
+    differs = text[1:] != text[:-1]
+    following = np.where(differs, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
+    following = np.minimum.accumulate(following[::-1])[::-1]
     small = np.ones(n, bool)
-    small[:-1] = np.append(step, -1)[following] > 0
+    small[:-1] = np.append(text[1:] > text[:-1], False)[following]
+    del differs, following
     leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(leftmost) <= 1:
         return _induce(text, small, leftmost, size)[1:]
@@ -128,11 +130,13 @@ def suffix_array(letters: np.ndarray, size: int) -> np.ndarray:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(C.mix(text.astype(np.uint64) * C.U64(2) + small) * C.powers(n), out=sums[1:])
     stop = np.append(leftmost[1:] + 1, n)
-    digest = np.zeros(n, np.uint64)
-    digest[leftmost] = C.span_hash(sums, leftmost, stop) ^ C.mix((stop - leftmost).astype(np.uint64))
-    names = np.zeros(n, np.int64)
-    names[ordered] = np.r_[0, np.cumsum(np.diff(digest[ordered].view(np.int64)) != 0)]
-    names = names[leftmost]
+    digest = C.span_hash(sums, leftmost, stop) ^ C.mix((stop - leftmost).astype(np.uint64))
+    del sums, stop, first, is_leftmost
+    number = np.searchsorted(leftmost, ordered)
+    digest = digest[number]
+    names = np.zeros(len(leftmost), np.int64)
+    names[number] = np.r_[0, np.cumsum(digest[1:] != digest[:-1])]
+    del digest, number
     seeds = ordered if names.max() == len(leftmost) - 1 else leftmost[_doubled(names)]
     return _induce(text, small, seeds, size)[1:]
 
@@ -143,13 +147,11 @@ def common_prefixes(letters: np.ndarray, array: np.ndarray, open_: np.ndarray, m
     Letters are compared eight at a time; ``most`` is a multiple of eight, and
     only whole eights count.
     """
-    before = np.full(len(letters), -1, np.int64)
+    before = np.full(len(letters), -1, np.int32)
     before[array[1:]] = array[:-1]
-    padded = np.append(letters.astype(np.uint64), np.zeros(most + 8, np.uint64))
-    eight = np.zeros(len(letters) + most, np.uint64)
-    for k in range(8):
-        eight |= padded[k: k + len(eight)] << C.U64(8 * k)
-    shared = np.zeros(len(letters), np.int64)
+    padded = np.append(letters.astype(np.uint8), np.zeros(most + 8, np.uint8))
+    eight = np.ndarray(len(letters) + most, "<u8", padded.data, strides=(1,))  # the eight letters from each place on
+    shared = np.zeros(len(letters), np.int16)
     at = np.flatnonzero(open_ & (before >= 0))
     at = at[open_[before[at]]]
     for depth in range(0, most, 8):
@@ -247,18 +249,26 @@ def _shard(docs: list[int], starts: list[int], texts: list[bytes]) -> pa.RecordB
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     first = np.cumsum(size + 1) - size - 1
-    letters = raw.astype(np.int64) + 1
+    letters = raw.astype(np.uint16) + np.uint16(1)
     letters[first + size] = 0
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    inside = np.arange(len(raw)) - first[owner]
-    open_ = inside + LENGTH <= size[owner]
-    doc, start = np.array(docs, np.int64)[owner], np.array(starts, np.int64)[owner] + inside
+    edge = np.zeros(len(raw) + 1, np.int8)
+    whole = size >= LENGTH
+    edge[first[whole]] += 1
+    edge[(first + size - LENGTH + 1)[whole]] -= 1
+    open_ = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
     array = suffix_array(letters, 257)
     shared = common_prefixes(raw, array, open_, LENGTH)[array] >= LENGTH
-    group = np.flatnonzero(~shared)
-    place = C.mix(C.mix(doc.astype(np.uint64)) + start.astype(np.uint64))[array]
+    # of the order only suffixes that share a string with a neighbour are looked at further
+    again = shared.copy()
+    again[:-1] |= shared[1:]
+    at, group = array[again], np.flatnonzero(~shared[again])
+    if not len(at):
+        return _spans(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    owner = np.searchsorted(first, at, "right") - 1
+    doc, start = np.array(docs, np.int64)[owner], np.array(starts, np.int64)[owner] + at - first[owner]
+    place = C.mix(C.mix(doc.astype(np.uint64)) + start.astype(np.uint64))
     differing = np.minimum.reduceat(place, group) != np.maximum.reduceat(place, group)
-    hit = array[np.repeat(differing, np.diff(np.append(group, len(array))))]
+    hit = np.repeat(differing, np.diff(np.append(group, len(at))))
     return _spans(doc[hit], start[hit])
 
 

@@ -606,3 +606,24 @@ def test_components(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     found = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r["node"], r["root"]) for r in found} == {(x, find(x)) for x in linked} and len(found) == len(linked)
+
+
+def test_memory_of_a_shard():
+    """A shard of 4 MB takes at most 110 bytes for each of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from ledgerloom.llm import suffix_dedup as S
+r = np.random.default_rng(1)
+base = [bytes(r.integers(97, 110, 1500, dtype=np.uint8)) for _ in range(500)]
+texts = [base[i % 500] + bytes(r.integers(97, 110, 500, dtype=np.uint8)) for i in range(2000)]
+used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+before = used()
+assert S._shard(list(range(2000)), [0] * 2000, texts).num_rows == 2000
+print((used() - before) / 4e6)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120,
+                          cwd=__file__.rsplit("/tests/", 1)[0])
+    assert float(done.stdout) < 110, done.stderr
