@@ -67,21 +67,21 @@ def describe(links: DataFrame, legs: DataFrame, cfg: MatchConfig = DEFAULT) -> D
 
 
 def match_note(cfg: MatchConfig = DEFAULT):
-    role = F.when(F.col("type").isin(*texts.BASE_TYPES), "base settlement").otherwise(
+    role = F.when(F.col("type").isin(*texts.BASE_TYPES), "base leg").otherwise(
         F.replace("type", F.lit("_"), F.lit(" ")))
     blank = F.lit("")
     return (
         F.when(F.col("match_type") == texts.FX, F.concat(
-            F.lit("FX evidence: "), F.coalesce("source_amount", blank), F.lit(" "), "currency",
-            F.lit(" at documented rate "), F.coalesce("exchange_rate", blank), F.lit(" equals ₹"),
-            cents_text("recon_c"), F.lit("; order ID found in narration.")))
+            F.lit("Converted: "), F.coalesce("source_amount", blank), F.lit(" "), "currency",
+            F.lit(" times "), F.coalesce("exchange_rate", blank), F.lit(" is ₹"),
+            cents_text("recon_c"), F.lit(", and the narration names the order.")))
         .when(F.col("match_type") == texts.EXACT, texts.NOTE_EXACT)
         .when(F.col("match_type") == texts.FUZZY, F.concat(
-            F.lit("No usable ID in narration; matched on amount (Δ₹"), cents_text("amount_diff_c"),
-            F.lit(") and date (Δ"), F.col("day_diff").cast("string"), F.lit("d).")))
+            F.lit("Best open line by amount (off by ₹"), cents_text("amount_diff_c"),
+            F.lit(") and day (off by "), F.col("day_diff").cast("string"), F.lit(").")))
         .when(F.col("match_type") == texts.SPLIT, texts.NOTE_SPLIT)
         .when(F.col("match_type") == texts.LIFECYCLE, F.concat(
-            F.lit("Evidenced lifecycle group: "), role, F.lit("; base settlement + adjustments match the bank credit."))))
+            F.lit("Part of an order paid in one credit: "), role, F.lit("."))))
 
 
 @dataclass

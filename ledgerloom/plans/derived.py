@@ -67,15 +67,15 @@ LINES = (
     ("1", "kind = 'adjustment'", "net_c - tenth_c", "lag_days", "'RAIL SETTLEMENT CR'", "1+7"),
     ("1", "kind = 'split_payment'", "first_c", "lag_days", "credit_text", "1"),
     ("2", "kind = 'split_payment'", "net_c - first_c", "lag_days", "credit_text", "2"),
-    ("1", "kind = 'split_bank'", "part_c", "lag_days", "concat(credit_text, ' (split)')", "1"),
-    ("2", "kind = 'split_bank'", "net_c - part_c", "lag_days", "concat(credit_text, ' (split)')", "1"),
+    ("1", "kind = 'split_bank'", "part_c", "lag_days", "concat(credit_text, '/PART')", "1"),
+    ("2", "kind = 'split_bank'", "net_c - part_c", "lag_days", "concat(credit_text, '/PART')", "1"),
     ("4", "k % 25 = 3 and k % 10 <> 8", "-gross_c", "1 + k % 4 + k % 3", "debit_text", "4"),
     ("5", "k % 25 = 4", "-third_c", "1 + k % 4 + k % 3", "debit_text", "5"),
     ("6", "k % 50 = 10", "-gross_c", "9 + k % 3", "debit_text", "6"),
     ("8", "k % 40 = 12", "20000", "1 + k % 3", "credit_text", "8"),
-    ("9", "kind = 'ambiguous'", "net_c", "1", "'UNREFERENCED CREDIT A'", ""),
-    ("10", "kind = 'ambiguous'", "net_c", "1", "'UNREFERENCED CREDIT B'", ""),
-    ("11", "k % 70 = 9", "40000 + c % 30000", "2", "'UNKNOWN CREDIT - BANK REF'", ""),
+    ("9", "kind = 'ambiguous'", "net_c", "1", "'RAIL MISC CR A'", ""),
+    ("10", "kind = 'ambiguous'", "net_c", "1", "'RAIL MISC CR B'", ""),
+    ("11", "k % 70 = 9", "40000 + c % 30000", "2", "'COUNTER DEPOSIT'", ""),
 )
 
 

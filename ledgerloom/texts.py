@@ -1,4 +1,8 @@
-"""Codes, labels and reason texts that results must carry verbatim."""
+"""Codes, labels and sentences of the results.
+
+Codes, labels, categories and the reasons of both registers are fixed values: published results, labelled
+truth and grouping by them need these very texts. The other sentences are this library's own.
+"""
 
 # Settlement types
 BASE_TYPES = ("settlement", "split_payment")
@@ -60,17 +64,17 @@ COARSE_BY_TYPE = {
 COARSE_OTHER = "No unique, evidence-backed candidate within configured amount/date tolerances."
 
 # Candidate audit, replay and review texts
-REJECTED_BY_LEG = "A lower-cost candidate ranked higher for this settlement."
-REJECTED_BY_LINE = "The bank transaction was reserved by a stronger settlement candidate."
-REPLAY_REASON = "Replay event skipped: identical event fingerprint was already present in this batch."
-QUEUE_REASON = "Ambiguous evidence: model may rank only the supplied candidates; human approval is mandatory."
-GATE_MALFORMED = "Model response was not valid JSON; no recommendation recorded."
-GATE_UNKNOWN_ID = "Model proposed an ID outside the supplied candidates; rejected by policy."
-GATE_NO_REASON = "No explanation supplied."
+REJECTED_BY_LEG = "Another line fits this leg better."
+REJECTED_BY_LINE = "Another leg fits this line better."
+REPLAY_REASON = "Delivered again: same fingerprint as a row kept."
+QUEUE_REASON = "Evidence leaves a choice: rank the listed lines only, a person decides."
+GATE_MALFORMED = "The reply is not a JSON object."
+GATE_UNKNOWN_ID = "The reply names a line that is not among the listed ones."
+GATE_NO_REASON = "The reply gives no reason."
 
 # Match notes
-NOTE_EXACT = "Order ID found in bank narration; amount and date within tolerance."
-NOTE_SPLIT = "Settlement amount matches the SUM of two unmatched bank entries within window."
+NOTE_EXACT = "The narration names the order; amount and day fit."
+NOTE_SPLIT = "Two lines left over add up to the leg."
 
 # Exception categories, first matching word wins
 CATEGORY_RULES = (

@@ -297,12 +297,12 @@ _CATEGORY = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(lower(reason), {_quote(w)})" for w in words) + f" THEN {_quote(name)}"
     for words, name in texts.CATEGORY_RULES) + f" ELSE {_quote(texts.CATEGORY_OTHER)} END"
 
-_NOTES = f"""CASE match_type WHEN 'fx_conversion' THEN 'FX evidence: ' || source_amount || ' ' || currency || ' at documented rate ' || exchange_rate
-    || ' equals ₹' || {_money_text('recon_c')} || '; order ID found in narration.'
+_NOTES = f"""CASE match_type WHEN 'fx_conversion' THEN 'Converted: ' || source_amount || ' ' || currency || ' times ' || exchange_rate
+    || ' is ₹' || {_money_text('recon_c')} || ', and the narration names the order.'
   WHEN 'exact_id' THEN {_quote(texts.NOTE_EXACT)} WHEN 'split_bank_entries' THEN {_quote(texts.NOTE_SPLIT)}
-  WHEN 'fuzzy_amount_date' THEN 'No usable ID in narration; matched on amount (Δ₹' || {_money_text('amount_diff_c')} || ') and date (Δ' || day_diff || 'd).'
-  ELSE 'Evidenced lifecycle group: ' || CASE WHEN type IN {_BASE} THEN 'base settlement' ELSE replace(type, '_', ' ') END
-    || '; base settlement + adjustments match the bank credit.' END"""
+  WHEN 'fuzzy_amount_date' THEN 'Best open line by amount (off by ₹' || {_money_text('amount_diff_c')} || ') and day (off by ' || day_diff || ').'
+  ELSE 'Part of an order paid in one credit: ' || CASE WHEN type IN {_BASE} THEN 'base leg' ELSE replace(type, '_', ' ') END
+    || '.' END"""
 
 _LABEL = _case("type", texts.LEG_LABELS, "type")
 _SIZE = f"'₹' || {_money_text('abs(net_c)')}"
@@ -313,26 +313,26 @@ def _r(c):
 
 
 _EVENTS = [
-    (f"type IN {_BASE}", "order_date", 1, "'captured'", f"'Processor captured ' || {_r('gross_c')} || CASE WHEN type = 'split_payment' THEN ' as one split-payment leg' ELSE '' END"),
-    (f"type IN {_BASE} AND fee_c + tax_c > 0", "order_date", 2, "'fee'", f"{_r('(fee_c + tax_c)')} || ' deducted (fee ' || {_r('fee_c')} || ' + tax ' || {_r('tax_c')} || ')'"),
-    ("type = 'duplicate_settlement'", "settlement_date", 3, "'duplicate'", f"'Duplicate settlement webhook detected for ' || {_r('net_c')} || ' — no second bank credit expected, ignored in reconciliation.'"),
+    (f"type IN {_BASE}", "order_date", 1, "'captured'", f"'Processor took ' || {_r('gross_c')} || CASE WHEN type = 'split_payment' THEN ', a part of the payment' ELSE '' END"),
+    (f"type IN {_BASE} AND fee_c + tax_c > 0", "order_date", 2, "'fee'", f"{_r('(fee_c + tax_c)')} || ' withheld: fee ' || {_r('fee_c')} || ', tax ' || {_r('tax_c')}"),
+    ("type = 'duplicate_settlement'", "settlement_date", 3, "'duplicate'", f"'Second notice of ' || {_r('net_c')} || ', no money behind it.'"),
     (f"type IN {_tuple(texts.REVERSAL_TYPES)}", "settlement_date", 4, "CASE WHEN type = 'chargeback' THEN 'chargeback' ELSE 'refund_initiated' END",
-     f"CASE WHEN type = 'chargeback' THEN 'Chargeback of ' || {_SIZE} || ' recorded — distinct from a customer refund' ELSE {_LABEL} || ' of ' || {_SIZE} || ' initiated' END"),
-    (f"type IN {_ADJ}", "settlement_date", 4, "'adjustment'", f"{_LABEL} || ': ' || CASE WHEN net_c > 0 THEN '+' ELSE '' END || {_r('net_c')} || ' recorded as a separate lifecycle event.'"),
+     f"CASE WHEN type = 'chargeback' THEN 'Charged back: ' || {_SIZE} || ', not a refund' ELSE {_LABEL} || ' of ' || {_SIZE} || ' started' END"),
+    (f"type IN {_ADJ}", "settlement_date", 4, "'adjustment'", f"{_LABEL} || ': ' || CASE WHEN net_c > 0 THEN '+' ELSE '' END || {_r('net_c')}"),
     ("type <> 'duplicate_settlement' AND status = 'matched'", "settlement_date", 5, "'bank_matched'",
-     f"CASE WHEN type = 'chargeback' THEN 'Chargeback debited from bank' WHEN net_c < 0 THEN 'Refund debited from bank' ELSE 'Settled to bank' END || ': ' || {_SIZE} || ' via ' || bank_ids || ' (' || match_type || ', confidence ' || confidence_pct || '%) — ' || notes"),
+     f"CASE WHEN type = 'chargeback' THEN 'Charged back at the bank' WHEN net_c < 0 THEN 'Paid back at the bank' ELSE 'Paid in at the bank' END || ': ' || {_SIZE} || ' on ' || bank_ids || ' (' || match_type || ', ' || confidence_pct || '%): ' || notes"),
     ("type <> 'duplicate_settlement' AND status <> 'matched'", "settlement_date", 5, "'unresolved'",
-     f"'No confirmed bank movement for ' || lower({_LABEL}) || ' of ' || {_SIZE} || ' — ' || reason"),
+     f"'Nothing at the bank for ' || lower({_LABEL}) || ' of ' || {_SIZE} || ': ' || reason"),
 ]
-_TIMELINE = ("SELECT order_id, order_date AS event_date, '' AS settlement_id, 0 AS step, 'order_placed' AS kind, 'Customer paid ' || "
+_TIMELINE = ("SELECT order_id, order_date AS event_date, '' AS settlement_id, 0 AS step, 'order_placed' AS kind, 'Order over ' || "
              + _r("gross_c") + " AS text FROM first_rows UNION ALL "
              + " UNION ALL ".join(
                  f"SELECT order_id, {day} AS event_date, settlement_id, {step} AS step, {kind} AS kind, {text} AS text FROM (SELECT s.*, f.order_date, n.notes FROM status s JOIN first_rows f USING (order_id) LEFT JOIN (SELECT settlement_id, {_NOTES} AS notes FROM decisions) n USING (settlement_id)) WHERE {cond}"
                  for cond, day, step, kind, text in _EVENTS))
-_NARRATIVE = f"""SELECT order_id, 0 AS part, '' AS settlement_id, 'Full lifecycle accounted for.' AS text FROM verdict_rows WHERE status = 'RECONCILED'
-UNION ALL SELECT order_id, 1, '', 'Net lifecycle movement: ' || {_r('net_c')} || '.' FROM verdict_rows
-UNION ALL SELECT order_id, 2, '', 'Duplicate webhook detected and excluded — did not affect the money movement.' FROM verdict_rows WHERE duplicates > 0
-UNION ALL SELECT order_id, 3, settlement_id, 'Open thread: ' || {_LABEL} || ' (' || {_SIZE} || '): ' || reason FROM status WHERE type <> 'duplicate_settlement' AND status <> 'matched'"""
+_NARRATIVE = f"""SELECT order_id, 0 AS part, '' AS settlement_id, 'Every leg has its line.' AS text FROM verdict_rows WHERE status = 'RECONCILED'
+UNION ALL SELECT order_id, 1, '', 'Net of all legs: ' || {_r('net_c')} || '.' FROM verdict_rows
+UNION ALL SELECT order_id, 2, '', 'Repeated notices are left out.' FROM verdict_rows WHERE duplicates > 0
+UNION ALL SELECT order_id, 3, settlement_id, 'Still open: ' || {_LABEL} || ' (' || {_SIZE} || '): ' || reason FROM status WHERE type <> 'duplicate_settlement' AND status <> 'matched'"""
 
 _STAGE_COLS = "l AS settlement_id, r1 AS bank_ids"
 
