@@ -34,15 +34,21 @@ def assign(candidates: DataFrame, left_rows, right_rows, pairs: bool = False) ->
 
 
 def links_of_cells(candidates: DataFrame, pairs: bool = False) -> DataFrame:
-    """Chosen cell candidates with the number of ``links`` and the rows used before them."""
+    """Chosen cell candidates with the number of ``links`` and the rows used before them.
+
+    Where ``candidates`` has left_used, right_used (right2_used), so many rows of
+    the cell are taken already; each candidate must have rows left at its ends.
+    """
     if not pairs:
         candidates = candidates.withColumns({
             "right2": F.lit(None).cast("string"), "right2_n": F.lit(None).cast("bigint")})
-    zero = F.lit(0).cast("bigint")
+    def used(name):
+        return (F.col(name) if name in candidates.columns else F.lit(0)).cast("bigint").alias(name)
+
     state, left_open = counted(candidates.select(
         "cost", F.md5(tie_key("left", "right", "right2").cast("binary")).alias("turn"),
-        "left", "left_n", zero.alias("left_used"), "right", "right_n", zero.alias("right_used"),
-        "right2", "right2_n", zero.alias("right2_used"), "info", F.lit(None).cast("bigint").alias("links")))
+        "left", "left_n", used("left_used"), "right", "right_n", used("right_used"),
+        "right2", "right2_n", used("right2_used"), "info", F.lit(None).cast("bigint").alias("links")))
     taken = state.filter("links IS NOT NULL")
     while left_open:
         text = _ROUND.format(
@@ -134,11 +140,15 @@ def expand(segments: DataFrame, left_rows, right_rows, pairs: bool) -> DataFrame
     return out.select("left_id", "right_id", "right_id2", "cost", "info")
 
 
-def greedy_match(edges: DataFrame, left: str, right: str, cost: str) -> DataFrame:
-    """Greedy assignment over an explicit candidate list, each end used once."""
+def unit_candidates(edges: DataFrame, left: str, right: str, cost: str) -> DataFrame:
+    """An explicit candidate list as candidates between cells of one row."""
     unit = F.lit(1).cast("bigint")
-    candidates = edges.select(
+    return edges.select(
         F.col(cost).cast("bigint").alias("cost"), F.col(left).alias("left"), unit.alias("left_n"),
         F.col(right).alias("right"), unit.alias("right_n"), F.struct(F.lit(0).alias("none")).alias("info"))
-    return assign(candidates, None, None).select(
+
+
+def greedy_match(edges: DataFrame, left: str, right: str, cost: str) -> DataFrame:
+    """Greedy assignment over an explicit candidate list, each end used once."""
+    return assign(unit_candidates(edges, left, right, cost), None, None).select(
         F.col("left_id").alias(left), F.col("right_id").alias(right), F.col("cost").alias(cost))

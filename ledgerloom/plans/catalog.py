@@ -10,8 +10,9 @@ from ledgerloom import texts
 from ledgerloom.config import DEFAULT as CFG
 from ledgerloom.functions import scalars as X
 from ledgerloom.operators import evaluation, evidence, exceptions, matching, ranker, replay, review, story, summary
-from ledgerloom.operators.greedy import greedy_match
+from ledgerloom.operators.greedy import greedy_match, links_of_cells, unit_candidates
 from ledgerloom.operators.pools import repeated_ids, with_direction
+from ledgerloom.operators.rematch import rematch
 from ledgerloom.plans import derived
 from ledgerloom.plans.cascade import Reconciliation, Stages, finish
 from ledgerloom.runtime import durable
@@ -342,6 +343,21 @@ def greedy_assignment(t):
     return greedy_match(matching.candidate_edges(t.legs, t.lines), "settlement_id", "bank_txn_id", "cost_c")
 
 
+@query
+def greedy_increment(t):
+    """The last seven days of legs and lines come later; only what they reach is matched again."""
+    edges = durable(matching.candidate_edges(t.legs, t.lines))
+    since = t.legs.agg(F.date_sub(F.max("settlement_date"), 6).alias("since")).first()["since"]
+    late_legs = t.legs.filter(F.col("settlement_date") >= F.lit(since)).select("settlement_id")
+    late_lines = t.lines.filter(F.col("value_date") >= F.lit(since)).select("bank_txn_id")
+    early = edges.join(late_legs, "settlement_id", "left_anti").join(late_lines, "bank_txn_id", "left_anti")
+    names = ("settlement_id", "bank_txn_id", "cost_c")
+    changed = late_legs.select(F.concat(F.lit("L"), "settlement_id").alias("node")).unionByName(
+        late_lines.select(F.concat(F.lit("R"), "bank_txn_id").alias("node")))
+    links = rematch(unit_candidates(edges, *names), durable(links_of_cells(unit_candidates(early, *names))), changed)
+    return links.select(F.col("left").alias("settlement_id"), F.col("right").alias("bank_txn_id"), F.col("cost").alias("cost_c"))
+
+
 @query
 def mutual_best_match(t):
     return evidence.mutual_best(t.legs, t.lines).select(

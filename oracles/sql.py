@@ -375,6 +375,7 @@ FROM lines WHERE amount_c % 31 = 0""",
   AND abs((s.settlement_date - DATE '1970-01-01') // 7 - (b.value_date - DATE '1970-01-01') // 7) <= 1 GROUP BY 1""",
     "edge_audit": f"SELECT settlement_id, bank_txn_id, settlement_rank = 1 AS selected_by_settlement, bank_rank = 1 AS selected_by_bank, CASE WHEN settlement_rank = 1 AND bank_rank = 1 THEN 'SELECTED' ELSE 'REJECTED' END AS candidate_disposition, CASE WHEN settlement_rank > 1 THEN {_quote(texts.REJECTED_BY_LEG)} WHEN bank_rank > 1 THEN {_quote(texts.REJECTED_BY_LINE)} END AS rejection_reason FROM ranks",
     "greedy_assignment": "SELECT l AS settlement_id, r1 AS bank_txn_id, cost AS cost_c FROM allg",
+    "greedy_increment": "SELECT l AS settlement_id, r1 AS bank_txn_id, cost AS cost_c FROM allg",
     "mutual_best_match": "SELECT settlement_id, bank_txn_id, match_type, confidence_bp, decision, cost_c, has_id FROM mutual",
     "exact_id_match": f"SELECT {_STAGE_COLS}, 99::BIGINT AS confidence_pct, amount_diff_c FROM exa",
     "fuzzy_match": f"SELECT {_STAGE_COLS}, {_confidence('cost')} AS confidence_pct, amount_diff_c FROM fuz",
