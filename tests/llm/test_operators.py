@@ -523,12 +523,56 @@ def test_hyperdimensional_borders(tricky, empty):
     assert {r["lang_pred"] for r in hyperdimensional.predict(tricky, nothing).collect()} == {"und"}
 
 
-def test_hyperdimensional_bundle_is_the_sum_of_bound_vectors():
-    letters = (np.random.Generator(np.random.PCG64(5)).integers(0, 2, (hyperdimensional.LETTERS, hyperdimensional.DIMENSIONS), dtype=np.int8) * 2 - 1)
-    a, b, c = 3, 0, 7
-    bound = np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
-    index = (a * hyperdimensional.LETTERS + b) * hyperdimensional.LETTERS + c
-    assert (hyperdimensional.gram_vectors()[index] == bound).all()
+def _plain_bundle(text):
+    """Letter by letter: runs of other characters are one border, and a border stands at both ends."""
+    line = [0]
+    for letter in text or "":
+        low = letter.lower()[0]
+        symbol = ord(low) if low.isalpha() else 0
+        if symbol or line[-1]:
+            line.append(symbol)
+    if line[-1]:
+        line.append(0)
+    vector = lambda p: hyperdimensional.letter_vectors(np.array([p]))[0].astype(int)
+    total = np.zeros(hyperdimensional.DIMENSIONS, int)
+    for a, b, c in zip(line, line[1:], line[2:]):
+        total += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return total
+
+
+def test_hyperdimensional_equals_plain_profiles(spark, monkeypatch):
+    """Prototypes, cosines and choices against sums of one vector a letter; scripts beyond Latin have letters of their own."""
+    monkeypatch.setattr(hyperdimensional, "BLOCK", 50)
+    monkeypatch.setattr(hyperdimensional, "ROWS", 7)
+    draw = np.random.default_rng(8)
+    pools = {"el": "αβγδεζηθικλ", "ru": "абвгдежзик", "uk": "абвгґеєжзиії", "en": "abcdefghij", "zh": "日本語中文字典学校", "un": "𐐨𐐩𐐪𐐫𐐬𐐭"}
+    rows = []
+    for k in range(150):
+        lang = list(pools)[k % len(pools)]
+        text = " ".join("".join(draw.choice(list(pools[lang]), draw.integers(1, 6))) for _ in range(draw.integers(1, 25)))
+        rows.append((k, text.title() if k % 5 == 0 else text + " 12, !", None if k % 29 == 0 else lang))
+    rows += [(200, None, "en"), (201, "", "en"), (202, "a", "en"), (203, "... --", "ru"), (None, "абв где", "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = hyperdimensional.train(docs)
+    bundles = [(i, text, lang, _plain_bundle(text)) for i, text, lang in rows]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    names = sorted(pools)
+    wanted = np.array([sum(b for i, _, lang, b in bundles if lang == name and not held(i)) for name in names], float)
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    wanted -= wanted.mean(0)
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    assert model["names"] == names and np.allclose(model["prototypes"], wanted, atol=1e-12)
+    found = {r["doc_id"]: r for r in hyperdimensional.predict(docs, model).collect()}
+    right = 0
+    for i, text, lang, bundle in bundles:
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        cosines = wanted @ bundle / np.linalg.norm(bundle)
+        assert found[i]["lang_pred"] == names[int(cosines.argmax())] and found[i]["held_out"] == held(i)
+        assert abs(found[i]["score"] - 1 / np.exp(hyperdimensional.SHARPNESS * (cosines - cosines.max())).sum()) < 1e-9
+        right += lang is None or found[i]["lang_pred"] == lang
+    assert right > 0.95 * len(bundles)
 
 
 # --- op8 ---------------------------------------------------------------------
