@@ -4,14 +4,21 @@
    training documents, chosen one after the other by what they newly cover,
    and a few fixed patterns of style.
 2. A generative label model estimates each voter's rates in toxic and clean
-   documents by expectation maximisation. Voters that agree beyond their
-   rates are correlated and share one weight.
+   documents, those of the human label among them, by expectation maximisation
+   over their agreement. Voters that agree beyond their rates are correlated
+   and share one weight. The human label tells which class is the toxic one.
 3. A logistic regression on the voters' counts is trained on the posterior
    labels of that model.
 
 Training uses a bounded sample of labelled documents, at most ``SAMPLE`` by
 the hash of their ID; every document is scored by its whole text.
 
+Bounds of the model: at most ``CANDIDATES`` features, those of most toxic
+documents of the sample (ties: fewer clean ones, then the hash), are weighed as
+voters, each in at least 0.4 % of the toxic ones; at most ``VOTERS`` are chosen,
+of equal gains the one with the smaller hash. Texts of any length are scored
+whole; an empty table gives no rows.
+
 Null or empty text has no features and gets the score of such a text. Rows
 without an ID count as held out. A document with several labels is toxic if
 one of them says so; null labels are ignored. Without labels of both kinds
@@ -132,17 +139,22 @@ def _choose(votes: np.ndarray, toxic: np.ndarray) -> list[int]:
 def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each row and the weight of each voter.
 
-    ``start`` are first beliefs: those of the human label, a voter of known
-    accuracy which stays in the model in every round.
+    ``start`` are first beliefs, which say which class is the toxic one. The
+    human label (``start`` above one half) stays as one more voter; its rates,
+    like those of all voters and the share of toxic rows, are estimated from
+    agreement in every round, so a label that no voter bears out may lose.
     """
     belief = start.astype(float)
-    human = np.log(belief / (1 - belief))
+    human = (belief > 0.5).astype(float)
     share = np.ones(votes.shape[1])
     weight = np.zeros(votes.shape[1])
-    for turn in range(rounds):
+
+    def rates(voter):
         one, none = belief.sum(), (1 - belief).sum()
-        hit = (belief @ votes + 0.5) / (one + 1)
-        false = ((1 - belief) @ votes + 0.5) / (none + 1)
+        return (belief @ voter + 0.5) / (one + 1), ((1 - belief) @ voter + 0.5) / (none + 1)
+
+    for turn in range(rounds):
+        hit, false = rates(votes)
         if turn % 5 == 0:  # correlations: agreement beyond what the rates explain
             rest = votes - belief[:, None] * hit - (1 - belief)[:, None] * false
             spread = np.sqrt((rest ** 2).mean(0)) + 1e-9
@@ -151,7 +163,10 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> tuple
             share = 1 / (1 + np.where(together > 0.3, together, 0).sum(0))
         weight = share * (np.log(hit / false) - np.log((1 - hit) / (1 - false)))
         base = (share * np.log((1 - hit) / (1 - false))).sum()
-        belief = 1 / (1 + np.exp(-np.clip(human + base + votes @ weight, -30, 30)))
+        said, wrongly = rates(human)
+        own = np.where(human > 0, np.log(said / wrongly), np.log((1 - said) / (1 - wrongly)))
+        prior = np.log((belief.sum() + 0.5) / ((1 - belief).sum() + 0.5))
+        belief = 1 / (1 + np.exp(-np.clip(prior + own + base + votes @ weight, -30, 30)))
     return belief, weight
 
 

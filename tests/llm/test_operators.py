@@ -495,6 +495,56 @@ def test_label_model_discounts_correlated_voters():
     assert weight[0] > 2 * weight[3] and np.mean((belief > 0.5) == truth) > 0.89
 
 
+def test_label_model_equals_plain_em():
+    """Row by row and voter by voter, with the human label as one more voter of unknown rates."""
+    draw = np.random.default_rng(1)
+    truth = draw.random(120) < 0.3
+    noisy = lambda hit, false: np.where(truth, draw.random(120) < hit, draw.random(120) < false)
+    voters = [noisy(0.6, 0.1), noisy(0.5, 0.05), noisy(0.7, 0.2)]
+    voters.append(voters[0] ^ (draw.random(120) < 0.03))  # nearly a copy
+    human = truth ^ (draw.random(120) < 0.15)
+    belief, share, rounds = [0.95 if h else 0.05 for h in human], [1.0] * 4, 7
+    for turn in range(rounds):
+        one, none = sum(belief), sum(1 - b for b in belief)
+        rate = lambda v: ((sum(b for b, x in zip(belief, v) if x) + 0.5) / (one + 1),
+                          (sum(1 - b for b, x in zip(belief, v) if x) + 0.5) / (none + 1))
+        known = [rate(v) for v in voters]
+        if turn % 5 == 0:
+            rest = [[x - b * h - (1 - b) * f for b, x in zip(belief, v)] for v, (h, f) in zip(voters, known)]
+            size = [(sum(x * x for x in r) / 120) ** 0.5 + 1e-9 for r in rest]
+            tie = lambda i, j: abs(sum(x * y for x, y in zip(rest[i], rest[j])) / 120 / (size[i] * size[j]))
+            share = [1 / (1 + sum(tie(i, j) for j in range(4) if i != j and tie(i, j) > 0.3)) for i in range(4)]
+        odds = lambda x, h, f: np.log(h / f) if x else np.log((1 - h) / (1 - f))
+        weight = [s * (odds(1, h, f) - odds(0, h, f)) for s, (h, f) in zip(share, known)]
+        said, prior = rate(human), np.log((one + 0.5) / (none + 0.5))
+        belief = [1 / (1 + np.exp(-(prior + odds(human[k], *said) + sum(
+            s * odds(v[k], h, f) for s, v, (h, f) in zip(share, voters, known))))) for k in range(120)]
+    got, weights = toxicity.label_model(np.column_stack(voters).astype(float), np.where(human, 0.95, 0.05), rounds)
+    assert np.allclose(got, belief, atol=1e-9) and np.allclose(weights, weight, atol=1e-9)
+    assert share[0] < 1
+
+
+def test_scores_equal_plain_votes(spark, tricky):
+    """Every score by the definition of words, beginnings of words and marks, whole texts."""
+    word = re.compile(r"[a-z0-9'\x80-\U0010ffff]+")
+    lexicon, stems = ["tick", "line", "x"], ["tick", "same", "blank"]
+    key = lambda text, extra: common.span_hash(common.prefix(np.frombuffer(text.encode(), np.uint8)), np.array([0]), np.array([len(text)]))[0] + np.uint64(extra)
+    voters = [("word", w, key(w, 0)) for w in lexicon] + [("stem", w, key(w, len(w))) for w in stems]
+    order = sorted(voters, key=lambda v: int(v[2]))
+    weights = np.linspace(-1, 2, 1 + len(order) + 5)
+    model = {"voters": np.array([v[2] for v in order], np.uint64), "weights": weights, "share": 0.1}
+
+    def plain(text):
+        found = word.findall(lower(text))
+        votes = [v in found if kind == "word" else any(w.startswith(v) for w in found) for kind, v, _ in order]
+        votes += [mark in (text or "") for mark in ("!!", "??", "**", "?!", "@#")]
+        return round(float(1 / (1 + np.exp(-(weights[0] + weights[1:] @ np.array(votes, float))))), 9)
+
+    rows = tricky.select("doc_id", "text").collect()
+    assert collections.Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(tricky, model).collect()) == \
+        collections.Counter((r["doc_id"], plain(r["text"])) for r in rows)
+
+
 def test_toxicity_without_labels(spark, tricky, empty):
     none = spark.createDataFrame([(None, 1), (2, None)], "doc_id long, toxic int")
     for docs in (tricky, empty):
