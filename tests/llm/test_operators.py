@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -386,6 +387,40 @@ def test_order_minhash_feels_order_and_edits():
     assert order_minhash.likeness(order_minhash.fingerprint(""), order_minhash.fingerprint(None)) == 1.0
 
 
+def _plain_order_minhash(text):
+    """K-mer by K-mer: numbered by occurrence, the smallest under each permutation, hashed in text order."""
+    text, wide = text or "", 2**64
+    if not text:
+        return [0] * order_minhash.SKETCHES
+    size, seen, values = min(order_minhash.K, len(text)), collections.Counter(), []
+    mix = lambda n: int(common.mix(np.array([n % wide], np.uint64))[0])
+    for at in range(len(text) - size + 1):
+        kmer = text[at: at + size]
+        points = np.array([ord(c) for c in kmer], np.uint64) + np.uint64(1)
+        h = mix(int(common.rolling(common.mix(points), size)[0]))
+        number, seen[kmer] = seen[kmer], seen[kmer] + 1
+        values.append((mix(h + number * 0x9E3779B97F4A7C15) if number else h) >> 32)
+    out = []
+    for shift, factor in zip(order_minhash._SHIFT[:, 0].tolist(), order_minhash._FACTOR[:, 0].tolist()):
+        ranks = [(((v ^ shift) * factor) % 2**32, at) for at, v in enumerate(values)]
+        total = 0
+        for at in sorted(at for _, at in sorted(ranks)[: order_minhash.TUPLE]):
+            total = mix((total << 1) + values[at])
+        out.append(total >> 32)
+    return out
+
+
+def test_fingerprint_equals_plain_order_minhash():
+    draw = np.random.default_rng(6)
+    texts = [None, "", "x", "abcdefg", "abcdefgh", "ab" * 60, "a" * 90, "日本語🙂" * 20, "tick tock " * 30]
+    texts += ["".join(draw.choice(list("abc d"), draw.integers(1, 300))) for _ in range(25)]
+    for text in texts:
+        assert order_minhash.fingerprint(text).tolist() == _plain_order_minhash(text)
+    # equal k-mers in another order give another fingerprint
+    one, two = "the first part " * 3 + "and the other half", "and the other half" + "the first part " * 3
+    assert order_minhash.likeness(order_minhash.fingerprint(one), order_minhash.fingerprint(two)) < 0.9
+
+
 # --- op2 ---------------------------------------------------------------------
 
 def test_packing(docs):
