@@ -192,6 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 SEEDS, SHINGLE, SIMILAR = 3, 5, 0.8
 #: Keys of the shingle set: each of so many hashes' least values. A pair at 0.8 shares none with a chance of (1 - 0.8^4)^32 = 5e-8.
 KEYS, LEAST = 32, 4
+#: Least values (of KEYS * LEAST) that two texts must have in common to be candidates. A pair at 0.8 has fewer with a chance of 2e-8.
+AGREE = 76
 #: Words of a block of candidates that one group takes; a larger block is compared in pairs of its parts.
 BLOCK_WORDS = 2_000_000
 
@@ -213,30 +215,33 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(C.mix(C.rolling(hashes, min(SHINGLE, max(1, len(hashes))))))
 
 
-def _keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for every ``LEAST`` of the least values of the shingles under seeded hashes."""
+def _keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every ``LEAST`` of the least values of the shingles under seeded hashes, and a byte of each least value."""
     seeds = C.mix(np.arange(1, KEYS * LEAST + 1, dtype=np.uint64) * C.U64(0x9E3779B97F4A7C15)) | C.U64(1)
     least = np.full(len(seeds), 2**64 - 1, np.uint64)
     for at in range(0, len(shingles), 2048):
         np.minimum(least, np.multiply.outer(seeds, shingles[at: at + 2048]).min(1), out=least)
-    return C.mix(C.rolling(C.mix(least), LEAST)[::LEAST] + np.arange(KEYS, dtype=np.uint64))
+    least = C.mix(least)
+    return C.mix(C.rolling(least, LEAST)[::LEAST] + np.arange(KEYS, dtype=np.uint64)), least.astype(np.uint8)
 
 
 def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
+        sketches = []
         found, count = np.zeros((len(batch), SEEDS), np.uint64), np.zeros(len(batch), np.int64)
         keys = np.zeros((len(batch), KEYS), np.uint64)
         for i in range(len(batch)):
             hashes = _word_hashes(data[offsets[i]: offsets[i + 1]])
-            count[i], keys[i] = len(hashes), _keys(_shingles(hashes))
+            count[i], (keys[i], sketch) = len(hashes), _keys(_shingles(hashes))
+            sketches.append(sketch.tobytes())
             hashes = np.unique(hashes)
             found[i] = [_majority(C.mix(hashes ^ C.U64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))) for k in range(SEEDS)]
         prints, keys = (
             pa.FixedSizeListArray.from_arrays(pa.array(C.signed(x.ravel())), x.shape[1]).cast(pa.list_(pa.int64())) for x in (found, keys))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("text_hash"), pa.array(count), prints, keys],
-            names=["id", "text_hash", "words", "prints", "keys"])
+            [batch.column("id"), batch.column("text_hash"), pa.array(count), prints, keys, pa.array(sketches, pa.binary())],
+            names=["id", "text_hash", "words", "prints", "keys", "sketch"])
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,11 +332,59 @@ def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links()
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of IDs that connect all texts with a near or equal fingerprint or an equal key."""
-    keyed = durable(texts.select("id", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    pairs = keyed.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that connect the texts of each group of equal keys as all pairs with ``AGREE`` common least values do."""
+    def links(ids: list, sketches: list) -> tuple[np.ndarray, np.ndarray]:
+        ids, sketches = np.array(ids, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(ids), -1)
+        left, a, b = np.arange(len(ids)), [], []
+        while len(left):
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                node = todo.pop()
+                near = np.count_nonzero(sketches[left] == sketches[node], axis=1) >= AGREE
+                reached, left = left[near], left[~near]
+                a.append(np.full(len(reached), ids[node]))
+                b.append(ids[reached])
+                todo.extend(reached.tolist())
+        return np.concatenate([*a, ids[:0]]), np.concatenate([*b, ids[:0]])
+
+    key, ids, sketches = None, [], []
+    for batch in batches:
+        found = []
+        for k, i, s in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sketch"))):
+            if k != key:
+                if len(ids) > 1:
+                    found.append(links(ids, sketches))
+                key, ids, sketches = k, [], []
+            ids.append(i)
+            sketches.append(s)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found)], names=["a", "b"])
+    if len(ids) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(side) for side in links(ids, sketches)], names=["a", "b"])
+
+
+def _key_links(texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between texts that share a key and have ``AGREE`` least values in common.
+
+    Keys shared by the same texts are one bucket. Buckets of more than
+    ``group`` texts are compared in pairs of parts.
+    """
+    keyed = durable(texts.select("id", "text_hash", F.explode("keys").alias("key")))
+    members = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_hash")).alias("x"), F.bit_xor(F.xxhash64("text_hash", F.lit(1))).alias("y"))
+    buckets = members.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select(
+        "key", F.when(F.col("n") > group, F.ceil(2 * F.col("n") / group)).otherwise(1).cast("int").alias("parts"))
+    rows = keyed.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64("text_hash"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "text_hash")
+    rows = rows.join(texts.select("text_hash", "id", "sketch"), "text_hash").select("key", "id", "sketch")
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_alike, "a long, b long")
+
+
+def _candidates(texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """Pairs (a, b) of IDs that connect all texts with a near or equal fingerprint, or an equal key and alike least values."""
+    pairs = _key_links(texts, group)
     for k in range(SEEDS):
         named = texts.select("id", F.col("prints")[k].alias("fp"))
         heads = durable(named.groupBy("fp").agg(F.min("id").alias("head"), F.count("*").alias("n")))
@@ -345,21 +398,25 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_texts(docs: DataFrame, limit: int = BLOCK_WORDS) -> DataFrame:
+def near_texts(docs: DataFrame, limit: int = BLOCK_WORDS, group: int = GROUP) -> DataFrame:
     """id, text_hash, root of every row: texts of at least ``SIMILAR`` shingle sets share the root, the smallest ID.
 
     A fingerprint of the distinct words moves less under scattered edits than
     one of shingles, so texts are candidates by some of them, with differing
     seeds. A block of other text moves them too far, so the least hashes of the
-    shingles, which any pair at ``SIMILAR`` shares, find candidates too. Whatever candidates connect is one block; inside it every text
-    meets every other, and only pairs verified by their shingle sets link.
+    shingles find candidates too: any pair at ``SIMILAR`` shares a key of them.
+    A pair far below it often does as well, so texts that share a key must also
+    have ``AGREE`` least values in common before they are connected; shared
+    boilerplate therefore does not join texts that are otherwise unlike.
+    Whatever candidates connect is one block; inside it every text meets every
+    other, and only pairs verified by their shingle sets link.
     A block of more than ``limit`` words is dealt into parts, and each pair of
     parts is a group of its own. Equal texts need no search.
     """
     slim = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, words long, prints array<long>, keys array<long>"))
-    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "words", "prints", "keys")).alias("low")).select("text_hash", "low.*"))
-    blocks = C.components(_candidates(texts)).select(F.col("node").alias("id"), F.col("root").alias("block"))
+    rows = durable(slim.mapInArrow(_word_prints, "id long, text_hash long, words long, prints array<long>, keys array<long>, sketch binary"))
+    texts = durable(rows.groupBy("text_hash").agg(F.min(F.struct("id", "words", "prints", "keys", "sketch")).alias("low")).select("text_hash", "low.*"))
+    blocks = C.components(_candidates(texts, group)).select(F.col("node").alias("id"), F.col("root").alias("block"))
     wanted = durable(texts.select("id", "words", F.col("text_hash").alias("h")).join(blocks, "id"))
     large = wanted.groupBy("block").agg(F.ceil(2 * F.sum("words") / limit).cast("int").alias("parts")).where("parts > 2")
     wanted = wanted.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

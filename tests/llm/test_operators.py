@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     common, host_rules, hyperdimensional, kneser_ney, lempel_ziv, order_minhash, packing, simhash, suffix_dedup, toxicity, viterbi)
@@ -158,7 +159,7 @@ def test_representatives_of_edited_copies(spark):
     assert {i // 100 for i in left} == set(range(20)) and len(left) <= 24
 
 
-def same_groups(spark, texts, limit=simhash.BLOCK_WORDS):
+def same_groups(spark, texts, limit=simhash.BLOCK_WORDS, group=simhash.GROUP):
     """The pipeline's stage keeps what brute force at 0.8 keeps."""
     sets = [shingle_set(t) for t in texts]
     edges = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -173,7 +174,7 @@ def same_groups(spark, texts, limit=simhash.BLOCK_WORDS):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["id"]: r["root"] for r in simhash.near_texts(docs, limit).collect()}
+    found = {r["id"]: r["root"] for r in simhash.near_texts(docs, limit, group).collect()}
     assert found == {i: find(i) for i in range(len(texts))}
 
 
@@ -198,8 +199,8 @@ def test_copies_below_the_limit_of_one_another_meet_over_their_original(spark):
     same_groups(spark, texts)
 
 
-@pytest.mark.parametrize("limit", [simhash.BLOCK_WORDS, 20_000])
-def test_five_hundred_copies_of_one_original(spark, limit):
+@pytest.mark.parametrize("limit,group", [(simhash.BLOCK_WORDS, simhash.GROUP), (20_000, 40)])
+def test_five_hundred_copies_of_one_original(spark, limit, group):
     """Most lie below 0.8 of one another and at 0.8 to 0.9 of the original, which has the highest ID."""
     draw = np.random.default_rng(12)
     text = list(draw.permutation([f"w{i}" for i in range(60)] * 5))
@@ -213,7 +214,21 @@ def test_five_hundred_copies_of_one_original(spark, limit):
     sets = [shingle_set(t) for t in texts]
     like = [len(s & sets[-1]) / len(s | sets[-1]) for s in sets]
     assert min(like) >= 0.8 and len(texts) > 450
-    same_groups(spark, texts, limit)
+    same_groups(spark, texts, limit, group)
+
+
+def test_shared_boilerplate_connects_no_candidates(spark):
+    """Half of every text is the same: nearly all share keys, none is alike, so no block is formed."""
+    draw = np.random.default_rng(13)
+    prose = lambda n: [f"v{x}" for x in draw.integers(0, 50_000, n)]
+    shared = prose(200)
+    texts = [" ".join(shared + prose(200)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    rows = docs.mapInArrow(
+        simhash._word_prints, "id long, text_hash long, words long, prints array<long>, keys array<long>, sketch binary").cache()
+    shares = rows.select("id", F.explode("keys").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert shares > 20 and simhash._key_links(rows).count() == 0
+    same_groups(spark, texts)
 
 
 def edited_pairs(seed, count):
