@@ -148,6 +148,6 @@ def compare(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             F.transform(F.coalesce("_ll_ranges", F.array().cast("array<int>")),
                         lambda r: F.struct(r.alias("home"), F.lit(1).alias("guest"))))).alias("place"))
     dealt = dealt.select("place.home", "place.guest", "doc_id", "text", "_ll_key")
-    dealt = dealt.repartition(ranges, "home").sortWithinPartitions(
+    dealt = dealt.repartitionById(ranges, F.col("home")).sortWithinPartitions(
         "home", "guest", F.desc("_ll_key"), F.xxhash64("text"))
     return dealt.select("home", "guest", "doc_id", "text").mapInArrow(_compared, _SCHEMA)
