@@ -257,11 +257,11 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 def train(docs: DataFrame) -> dict:
     """Places of the arrays and the constants of the model; one note for each shard reaches the driver."""
     spark = docs.sparkSession
-    bits = max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = min(16, max(1, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))  # a shard's number has 16 bits
     folder = f"{scratch_root(spark)}/lm-{uuid.uuid4().hex}"
     known = docs.where(~_held_out()).select("text")
-    pairs = known.mapInArrow(_counter(bits), _PAIRS).repartition("shard").sortWithinPartitions("shard")
-    sums = pairs.mapInArrow(_pair_table(folder, bits), _SUMS).repartition("shard").sortWithinPartitions("shard", "kind")
+    pairs = known.mapInArrow(_counter(bits), _PAIRS).repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard")
+    sums = pairs.mapInArrow(_pair_table(folder, bits), _SUMS).repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard", "kind")
     notes = durable(sums.mapInArrow(_word_table(folder), _SUMS).select("shard", "kind", "path", "n", "facts")).collect()
     pairs, words = [r for r in notes if r["kind"] == 0], [r for r in notes if r["kind"] == 2]
     add = lambda rows, size: [sum(r["facts"][i] for r in rows) for i in range(size)]
