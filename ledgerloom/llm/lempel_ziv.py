@@ -1,13 +1,16 @@
 """Removal of repeated passages by relative Lempel-Ziv parsing.
 
-The corpus is the reference of its own parse, and the reference is indexed in
-blocks: an anchor, the smallest hash of a few consecutive words among those in
-a window, names the block in which a window is looked up, so equal windows
-meet in one block wherever they stand. In its block every document is factored
-against the text of all documents before it: a factor is a longest run of
-consecutive windows that stand earlier, so it is never shorter than a window.
-Factors that end at the border of a block go on in the next one; the check at
-those borders joins them to spans of repeated words.
+The reference of the parse is the corpus itself, indexed in blocks: an anchor,
+the smallest hash of a few consecutive words among those in a window, names
+the block in which a window is looked up, so equal windows meet in one block
+wherever they stand. A block holds each differing window once, with the place
+where it stands first. Documents are factored against it in ascending order:
+a factor starts at a window that stands earlier and is extended along that one
+place as long as the following windows follow there too, so no factor is
+shorter than a window. As a window has one place in its block, the longest
+factor is the only one and the greedy parse needs no choice. Factors end
+where the reference ends, at another reference, or at the border of a block;
+factors that touch or overlap become one span of repeated words.
 
 Windows repeated inside a chunk of the input are settled before the shuffle,
 so a passage shared by any number of documents reaches its block once per
@@ -38,18 +41,25 @@ WINDOW, GRAM, TAG = 20, 6, 6
 #: Differing windows that one block keeps in memory.
 SEEN = 2_000_000
 
-_ROWS = "anchor long, doc long, start int, n int, tags binary"
-_SPANS = "kind int, doc long, start int, n int, anchor long, tag long"
+_ROWS = "anchor long, doc long, start int, n int, tags binary, ref long, ref_start int"
+_SPANS = "kind int, doc long, start int, n int, ref long, ref_start int, anchor long, tag long"
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, extra: np.ndarray | None = None) -> np.ndarray:
-    """First positions of runs of consecutive windows of one document."""
+def _runs(doc: np.ndarray, start: np.ndarray, *same: np.ndarray, follows: np.ndarray | None = None) -> np.ndarray:
+    """First positions of runs of consecutive windows of one document, equal in ``same`` and consecutive in ``follows``."""
     new = (np.diff(doc) != 0) | (np.diff(start) != 1)
-    if extra is not None:
-        new |= np.diff(extra) != 0
+    for column in same:
+        new |= np.diff(column) != 0
+    if follows is not None:
+        new |= np.diff(follows) != 1
     return np.flatnonzero(np.r_[True, new]) if len(doc) else np.zeros(0, np.int64)
 
 
+def _heads(later: np.ndarray) -> np.ndarray:
+    """For each row the row that its group of equal keys begins with; ``later`` is false where a group begins."""
+    return np.maximum.accumulate(np.where(later, 0, np.arange(len(later)))) if len(later) else np.zeros(0, np.int64)
+
+
 def _windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     starts, ends, before = C.words(data, offsets)
     if len(starts) < WINDOW:
@@ -68,10 +78,12 @@ def _windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator
     # the same place of two rows of one ID is one occurrence
     same = np.r_[False, (np.diff(doc) == 0) & (np.diff(start) == 0)] & later if len(again) else later
     open_[again[later]] = False
-    gone, n = again[later & ~same], 0
-    gone = np.sort(gone)
+    ref, ref_start = (x[_heads(later)] for x in (doc, start))
+    gone = again[later & ~same]
+    order = np.argsort(gone)
+    gone, ref, ref_start = gone[order], ref[later & ~same][order], ref_start[later & ~same][order]
     doc, start = ids[owner[gone]], gone - before[owner[gone]]
-    first = _runs(doc, start, owner[gone])
+    first = _runs(doc, start, owner[gone], ref, follows=ref_start)
     n = np.diff(np.append(first, len(gone)))
     at = np.flatnonzero(open_)
     doc_at, start_at, anchor_at = ids[owner[at]], at - before[owner[at]], anchor[at]
@@ -80,14 +92,16 @@ def _windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator
     bounds = np.append(cut, len(at)) * TAG
     blob = pa.Array.from_buffers(
         pa.binary(), len(cut), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(tags.tobytes())])
-    names = ["anchor", "doc", "start", "n", "tags"]
+    names = ["anchor", "doc", "start", "n", "tags", "ref", "ref_start"]
     yield pa.RecordBatch.from_arrays(
         [pa.array(C.signed(anchor_at[cut])), pa.array(doc_at[cut]), pa.array(start_at[cut].astype(np.int32)),
-         pa.array(np.diff(np.append(cut, len(at))).astype(np.int32)), blob], names=names)
+         pa.array(np.diff(np.append(cut, len(at))).astype(np.int32)), blob, pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int32())],
+        names=names)
     if len(first):
         yield pa.RecordBatch.from_arrays(
             [pa.array(C.signed(C.mix(doc[first].astype(np.uint64)))), pa.array(doc[first]),
-             pa.array(start[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(first), pa.binary())],
+             pa.array(start[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(first), pa.binary()),
+             pa.array(ref[first]), pa.array(ref_start[first].astype(np.int32))],
             names=names)
 
 
@@ -99,23 +113,25 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _windows(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], ids[a:b])
 
 
-def _spans(doc, start, n, kind=0, anchor=None, tag=None) -> pa.RecordBatch:
+def _spans(doc, start, n, ref, ref_start, kind=0, anchor=None, tag=None) -> pa.RecordBatch:
     zero = np.zeros(len(doc), np.int64)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(doc), kind, np.int32)), pa.array(doc), pa.array(start.astype(np.int32)),
-         pa.array(n.astype(np.int32)), pa.array(zero if anchor is None else anchor), pa.array(zero if tag is None else tag)],
-        names=["kind", "doc", "start", "n", "anchor", "tag"])
+         pa.array(n.astype(np.int32)), pa.array(ref), pa.array(ref_start.astype(np.int32)),
+         pa.array(zero if anchor is None else anchor), pa.array(zero if tag is None else tag)],
+        names=["kind", "doc", "start", "n", "ref", "ref_start", "anchor", "tag"])
 
 
 def _parser(seen_limit: int):
     """Factors of the rows of each block, which stand in document order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, seen = None, np.zeros(0, np.uint64)  # the block that the last batch ended in, and its windows
+        # the block that the last batch ended in, its windows and where each stands first
+        block, seen, places = None, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
         for batch in batches:
             settled = batch.column("tags").is_null().to_numpy(zero_copy_only=False)
             if settled.any():
                 done = batch.filter(pa.array(settled))
-                yield _spans(*(done.column(c).to_numpy() for c in ("doc", "start", "n")))
+                yield _spans(*(done.column(c).to_numpy() for c in ("doc", "start", "n", "ref", "ref_start")))
                 batch = batch.filter(pa.array(~settled))
             if not len(batch):
                 continue
@@ -130,48 +146,60 @@ def _parser(seen_limit: int):
             doc = batch.column("doc").to_numpy()[row]
             start = batch.column("start").to_numpy()[row].astype(np.int64) + np.arange(len(row)) - first[row]
             key = C.mix(tag + C.mix(anchor.view(np.uint64)))
-            repeats = np.zeros(len(key), bool)
+            repeats, place = np.zeros(len(key), bool), np.stack([doc, start], 1)
+            ref = place.copy()
             again = C.repeated(key)
             again = again[np.argsort(key[again], kind="stable")]
-            repeats[again] = np.r_[False, key[again][1:] == key[again][:-1]] if len(again) else False
-            # the same place of two rows of one ID
             if len(again):
-                twin = np.r_[False, (np.diff(doc[again]) == 0) & (np.diff(start[again]) == 0)]
-                repeats[again[twin]] &= ~twin[twin]
+                later = np.r_[False, key[again][1:] == key[again][:-1]]
+                repeats[again], ref[again] = later, place[again[_heads(later)]]
             late = np.zeros(len(key), bool)
             goes_on = block is not None and anchors[0] == block
             if goes_on:
                 end = int(np.searchsorted(anchor, block, "right"))
                 at = np.searchsorted(seen, key[:end])
                 at[at == len(seen)] = 0
-                repeats[:end] |= seen[at] == key[:end]
+                hit = np.flatnonzero(seen[at] == key[:end])
+                repeats[hit], ref[hit] = True, places[at[hit]]
                 if len(seen) >= seen_limit:
                     late[:end] = ~repeats[:end]
             if goes_on and anchors[-1] == block:
-                seen = seen if len(seen) >= seen_limit else np.union1d(seen, key)
+                if len(seen) < seen_limit:
+                    seen, at = np.unique(np.concatenate([seen, key]), return_index=True)
+                    places = np.concatenate([places, place])[at]
             else:
                 block = anchors[-1]
-                seen = np.unique(key[np.searchsorted(anchor, block):])
-            keep = np.flatnonzero(repeats)
-            cut = _runs(doc[keep], start[keep])
-            yield _spans(doc[keep][cut], start[keep][cut], np.diff(np.append(cut, len(keep))))
+                low = int(np.searchsorted(anchor, block))
+                seen, at = np.unique(key[low:], return_index=True)
+                places = place[low:][at]
+            # the same place of two rows of one ID is no repeat
+            keep = np.flatnonzero(repeats & (ref != place).any(1))
+            doc_at, start_at, ref = doc[keep], start[keep], ref[keep]
+            cut = _runs(doc_at, start_at, ref[:, 0], follows=ref[:, 1])
+            yield _spans(doc_at[cut], start_at[cut], np.diff(np.append(cut, len(keep))), ref[cut, 0], ref[cut, 1])
             if late.any():
-                yield _spans(doc[late], start[late], np.ones(late.sum(), np.int64), 1, anchor[late], C.signed(tag[late]))
+                yield _spans(doc[late], start[late], np.ones(late.sum(), np.int64), doc[late], start[late], 1, anchor[late], C.signed(tag[late]))
     return run
 
 
-def spans(docs: DataFrame, seen_limit: int = SEEN) -> DataFrame:
-    """doc, start, n: runs of ``n`` windows from word ``start`` on that stand earlier in the corpus."""
+def factors(docs: DataFrame, seen_limit: int = SEEN) -> DataFrame:
+    """doc, start, n, ref, ref_start: ``n`` windows from word ``start`` on stand in ``ref`` from word ``ref_start`` on, which is earlier."""
     keyed = docs.select(C.doc_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
     rows = keyed.mapInArrow(_indexed, _ROWS).repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
     found = durable(rows.mapInArrow(_parser(seen_limit), _SPANS))
-    settled = found.where("kind = 0").select("doc", "start", "n")
+    settled = found.where("kind = 0").select("doc", "start", "n", "ref", "ref_start")
     late = found.where("kind = 1").select("doc", "start", "anchor", "tag")
     if late.isEmpty():
         return settled
     first = late.groupBy("anchor", "tag").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("many"))
     more = late.join(first.where("many > 1"), ["anchor", "tag"]).where(F.struct("doc", "start") != F.col("first"))
-    return settled.unionByName(more.select("doc", "start", F.lit(1).alias("n")))
+    return settled.unionByName(more.select(
+        "doc", "start", F.lit(1).alias("n"), F.col("first.doc").alias("ref"), F.col("first.start").alias("ref_start")))
+
+
+def spans(docs: DataFrame, seen_limit: int = SEEN) -> DataFrame:
+    """doc, start, n: runs of ``n`` windows from word ``start`` on that stand earlier in the corpus, one row for each factor."""
+    return factors(docs, seen_limit).select("doc", "start", "n")
 
 
 def _with_spans(docs: DataFrame, seen_limit: int) -> DataFrame:

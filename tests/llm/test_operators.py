@@ -318,6 +318,29 @@ def test_lempel_ziv(spark, docs, seen, batch):
     assert bag(found) == bag((i, *want[k][:2], hashlib.sha256(want[k][2].encode()).hexdigest()) for k, i, _ in keyed)
 
 
+@pytest.mark.parametrize("seen,batch", [(lempel_ziv.SEEN, 10_000), (1, 3)])
+def test_factors_equal_their_references(spark, docs, seen, batch):
+    """A factor's words are those of its reference, which is earlier; factors cover each window that stands earlier, and no other."""
+    docs = unique_ids(docs)
+    texts = {k: words(t) for k, _, t in key_of(spark, docs)}
+    first, want = {}, set()
+    for k in sorted(texts):
+        for i in range(len(texts[k]) - 19):
+            if first.setdefault(tuple(texts[k][i:i + 20]), (k, i)) != (k, i):
+                want.add((k, i))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = lempel_ziv.factors(docs, seen).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for doc, start, n, ref, at in found:
+        assert (ref, at) < (doc, start)
+        assert texts[doc][start:start + n + 19] == texts[ref][at:at + n + 19] and n + 19 <= len(texts[doc]) - start
+    assert {(doc, start + i) for doc, start, n, _, _ in found for i in range(n)} == want
+    if seen > 1 and batch > 3:
+        assert max(n for _, _, n, _, _ in found) > 1
+
+
 def test_lempel_ziv_texts(spark, docs):
     docs = unique_ids(docs)
     keyed = key_of(spark, docs)
