@@ -247,12 +247,11 @@ def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
-        sets = []
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            sets.append(_shingles(_word_hashes(data[a:b])).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("parts"), batch.column("id"), pa.array(sets, pa.binary())],
-            names=["block", "parts", "id", "shingles"])
+        for low, high in C.steps(offsets, 4 * C.CHUNK):  # sets are larger than texts
+            sets = [_shingles(_word_hashes(data[a:b])).tobytes() for a, b in zip(offsets[low:high], offsets[low + 1: high + 1])]
+            names = ["block", "parts", "id"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(n).slice(low, high - low) for n in names), pa.array(sets, pa.binary())], names=[*names, "shingles"])
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
