@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +198,7 @@ class Memory:
             length = np.fromiter(map(len, found), np.int64, len(found))
             start = len(self.ids) + np.cumsum(length) - length
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(length.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
             self.start, self.length = np.append(self.start, start), np.append(self.length, length)
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         length = self.length[which]

@@ -33,6 +33,8 @@ LIMITS = (2048, 256, 2048)
 END = 1
 #: Documents that wait for a place, and words a worker remembers.
 WAITING, REMEMBERED = 256, 800_000
+#: Bytes of text encoded in one step: the more, the fewer words come up again in another step.
+STEP = 4 << 20
 PLAIN = re.compile(rb"([a-z]+)([.,;:!?]*)").fullmatch
 
 
@@ -48,13 +50,16 @@ class WordEncoder:
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.tails: dict[bytes, list[int]] = {}
+        self.stems: dict[str, list[int]] = {}
         self.memory = C.Memory(self._encode, REMEMBERED)
 
     def _full(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        stems: dict[str, list[int]] = {}
+        if len(self.stems) > REMEMBERED // 2:
+            self.stems = {}
+        known, stems = self.stems, {}
         split, other = [], {}
         for word in words:
             if plain := PLAIN(word):
@@ -65,7 +70,8 @@ class WordEncoder:
                 text, tail = stem.decode(), word[len(stem):]
                 lower = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
             if lower:
-                stems[text] = []
+                if text not in known:
+                    stems[text] = None
                 if tail and tail not in self.tails:
                     self.tails[tail] = self._full([tail.decode()])[0]
                 split.append((text, tail))
@@ -73,10 +79,10 @@ class WordEncoder:
                 other[word] = []
                 split.append(None)
         for text, found in zip(stems, self.letters.encode_batch_fast(list(stems), add_special_tokens=False)):
-            stems[text] = found.ids
+            known[text] = found.ids
         for word, found in zip(other, self._full([w.decode() for w in other])):
             other[word] = found
-        return [other[word] if part is None else stems[part[0]] + self.tails[part[1]] if part[1] else stems[part[0]]
+        return [other[word] if part is None else known[part[0]] + self.tails[part[1]] if part[1] else known[part[0]]
                 for word, part in zip(words, split)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +216,7 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, with
         for batch in batches:
             data, offsets = C.flat(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            for a, b in C.steps(offsets):
+            for a, b in C.steps(offsets, STEP):
                 ids, bounds = encode(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 placed = []
                 for i in range(a, b):
