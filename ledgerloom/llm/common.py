@@ -64,6 +64,21 @@ def kept() -> dict:
     return sys.modules.setdefault("_ledgerloom_kept", types.ModuleType("_ledgerloom_kept")).__dict__
 
 
+def own(operator: str) -> dict:
+    """What a worker process keeps from task to task for one operator.
+
+    It goes when a task of another operator begins there, so that a stage of a
+    pipeline does not carry the tables of the stages before.
+    """
+    state = kept()
+    if state.get("operator") != operator:
+        for table in state.pop("own", {}).values():
+            table.close()
+        state.update(operator=operator, own={})
+        pa.default_memory_pool().release_unused()
+    return state["own"]
+
+
 def powers(count: int, base: int = _BASE) -> np.ndarray:
     tables = kept().setdefault("powers", {})
     have = tables.get(base)

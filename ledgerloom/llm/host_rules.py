@@ -66,6 +66,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.own("host_rules")
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         parts = [_measure(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]) for a, b in C.steps(offsets)]
@@ -125,6 +126,7 @@ def accepted(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame
     schema = docs.select("*", F.lit(False).alias("_ll_kept")).schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.own("host_rules")
         for batch in batches:
             data, offsets = C.flat(batch.column("text"))
             kept = np.zeros(len(batch), bool)

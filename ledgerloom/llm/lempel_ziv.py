@@ -106,6 +106,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Iterator
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.own("lempel_ziv")
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         ids = batch.column("doc").to_numpy()

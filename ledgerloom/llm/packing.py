@@ -53,6 +53,11 @@ class WordEncoder:
         self.stems: dict[str, list[int]] = {}
         self.memory = C.Memory(self._encode, REMEMBERED)
 
+    def close(self) -> None:
+        """Lets go of all words and of the tokenizers."""
+        self.memory.close()
+        self.tails, self.stems, self.tokenizer, self.letters = {}, {}, None, None
+
     def _full(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -195,7 +200,7 @@ def pack(docs: DataFrame, path: str, limits: tuple[int, int, int] = LIMITS, with
     """One row per piece; ``with_ids`` adds its token IDs (``ids``). All tokens of a document bear loss."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = C.kept().setdefault("word_encoders", {})
+        encoders = C.own("packing")
         encode, packer = encoders.get(path) or encoders.setdefault(path, WordEncoder(path)), Packer(limits)
         base = TaskContext.get().partitionId() << 33
 

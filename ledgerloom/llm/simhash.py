@@ -58,6 +58,7 @@ def _bits(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.own("simhash")
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         raw, at = data.tobytes(), offsets.tolist()
@@ -226,6 +227,7 @@ def _keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.own("simhash")
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         sketches = []
@@ -245,6 +247,7 @@ def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    C.own("simhash")
     for batch in batches:
         data, offsets = C.flat(batch.column("text"))
         for low, high in C.steps(offsets, 4 * C.CHUNK):  # sets are larger than texts
@@ -313,6 +316,7 @@ def _verified(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified links inside the groups of equal keys; the rows stand in key order."""
+    C.own("simhash")
     key, ids, sets = None, [], []
 
     def links():

@@ -85,6 +85,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndar
 def _features_of(known: np.ndarray | None):
     """Documents with each feature (of the ``known`` ones), by step of the input."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.own("toxicity")
         for batch in batches:
             data, offsets = C.flat(batch.column("text"))
             for a, b in C.steps(offsets, 4 * C.CHUNK):
@@ -108,6 +109,7 @@ def _votes(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarr
 
 def _voting(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.own("toxicity")
         for batch in batches:
             data, offsets = C.flat(batch.column("text"))
             votes = []
@@ -226,6 +228,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     voters, weights = model["voters"], model["weights"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.own("toxicity")
         for batch in batches:
             found = _scores(batch.column("text"), voters, weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
@@ -250,6 +253,7 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
     voters, weights = model["voters"], model["weights"]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.own("toxicity")
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column("text"), voters, weights) < 0.5))
 

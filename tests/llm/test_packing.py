@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.llm import common as C, packing
+from ledgerloom.llm import common as C, packing, simhash
 
 
 def test_stems_are_encoded_once_a_worker():
@@ -32,3 +32,18 @@ def test_memory_starts_over_when_full():
     for words in (["a", "bb"], ["bb", "ccc"], ["dddd", "a"], []):
         ids, length = memory(words)
         assert ids.tolist() == [n for w in words for n in (len(w), 7)] and length.tolist() == [2] * len(words)
+
+
+def test_a_worker_keeps_tables_of_one_operator():
+    """What packing kept goes when a stage of another operator begins in the same worker."""
+    closed = []
+
+    class Table:
+        def close(self):
+            closed.append(self)
+
+    table = C.own("packing").setdefault("table", Table())
+    assert C.own("packing")["table"] is table and not closed
+    packing_powers = C.powers(5)
+    assert [b.num_rows for b in simhash._word_prints(iter([]))] == [] and closed == [table]
+    assert C.own("packing") == {} and (C.powers(5) == packing_powers).all()
