@@ -68,12 +68,13 @@ def own(operator: str) -> dict:
     """What a worker process keeps from task to task for one operator.
 
     It goes when a task of another operator begins there, so that a stage of a
-    pipeline does not carry the tables of the stages before.
+    pipeline does not carry the tables of the stages before; nor their powers.
     """
     state = kept()
     if state.get("operator") != operator:
         for table in state.pop("own", {}).values():
             table.close()
+        state.pop("powers", None)
         state.update(operator=operator, own={})
         pa.default_memory_pool().release_unused()
     return state["own"]
@@ -127,10 +128,13 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
 
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each word and the distinct words by number."""
+    """The number of each word, or other span in ascending order, and the distinct ones by number."""
     bounds = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=bounds[1:])
-    letters = np.ascontiguousarray(data[~SPACE[data]])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
     column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
     coded = column.dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary.to_pylist()
@@ -187,10 +191,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Number sequences of words, worked out once per worker and word: ``work`` maps new words to their sequences."""
+    """Number sequences of words, worked out once per worker and word.
 
-    def __init__(self, work, most: int):
-        self.work, self.most = work, most
+    ``work`` maps new words to their sequences; it gets at most ``batch`` of them at once.
+    """
+
+    def __init__(self, work, most: int, batch: int | None = None):
+        self.work, self.most, self.batch = work, most, batch
         self._forget()
 
     def close(self) -> None:
@@ -209,12 +216,15 @@ class Memory:
             self._forget()
             new = list(set(words))
         if new:
-            found = self.work(new)
-            length = np.fromiter(map(len, found), np.int64, len(found))
+            ids, lengths = [self.ids], []
+            for at in range(0, len(new), self.batch or len(new)):
+                found = self.work(new[at: at + (self.batch or len(new))])
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+                ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+            length = np.concatenate(lengths)
             start = len(self.ids) + np.cumsum(length) - length
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))])
-            self.start, self.length = np.append(self.start, start), np.append(self.length, length)
+            self.ids, self.start, self.length = np.concatenate(ids), np.append(self.start, start), np.append(self.length, length)
         which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         length = self.length[which]
         first = np.cumsum(length) - length

@@ -16,7 +16,6 @@ are ignored.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -32,14 +31,30 @@ from ledgerloom.llm import common as C
 LIMITS = (2048, 256, 2048)
 END = 1
 #: Documents that wait for a place, and words a worker remembers.
-WAITING, REMEMBERED = 256, 800_000
+WAITING, REMEMBERED = 256, 400_000
 #: Bytes of text encoded in one step: the more, the fewer words come up again in another step.
 STEP = 4 << 20
-PLAIN = re.compile(rb"([a-z]+)([.,;:!?]*)").fullmatch
+#: Words that the tokenizer gets at once: what it returns takes some hundred times the bytes of a word.
+BATCH = 2048
+#: Words whose IDs are put in place at once.
+GATHER = 1 << 16
+#: Bytes of words whose end can be encoded apart, and those of such ends.
+LETTER, ENDING = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(97, 123), *range(128, 256)]] = ENDING[list(b".,;:!?")] = True
+
+
+def _plain(word: bytes) -> bool:
+    """Lower-case letters alone, which neither the normaliser nor the word pattern changes."""
+    text = word.decode()
+    return text.isalpha() and (word.isascii() and word.islower() or text == text.lower() and unicodedata.is_normalized("NFC", text))
 
 
 class WordEncoder:
-    """Token IDs of texts, word by word: the vocabulary never joins tokens across ASCII white space."""
+    """Token IDs of texts, word by word: the vocabulary never joins tokens across ASCII white space.
+
+    Nor does it join those of plain letters and of the marks after them, so
+    such a word is remembered without its marks.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,46 +64,36 @@ class WordEncoder:
         #: For lower-case letters alone neither the normaliser nor the word pattern has anything to do.
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tails: dict[bytes, list[int]] = {}
-        self.stems: dict[str, list[int]] = {}
-        self.memory = C.Memory(self._encode, REMEMBERED)
+        self.memory = C.Memory(self._encode, REMEMBERED, BATCH)
 
     def close(self) -> None:
         """Lets go of all words and of the tokenizers."""
         self.memory.close()
-        self.tails, self.stems, self.tokenizer, self.letters = {}, {}, None, None
-
-    def _full(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.tokenizer, self.letters = None, None
 
     def _encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.stems) > REMEMBERED // 2:
-            self.stems = {}
-        known, stems = self.stems, {}
-        split, other = [], {}
-        for word in words:
-            if plain := PLAIN(word):
-                stem, tail = plain.groups()
-                text, lower = stem.decode(), True
-            else:
-                stem = word.rstrip(b".,;:!?")
-                text, tail = stem.decode(), word[len(stem):]
-                lower = text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
-            if lower:
-                if text not in known:
-                    stems[text] = None
-                if tail and tail not in self.tails:
-                    self.tails[tail] = self._full([tail.decode()])[0]
-                split.append((text, tail))
-            else:
-                other[word] = []
-                split.append(None)
-        for text, found in zip(stems, self.letters.encode_batch_fast(list(stems), add_special_tokens=False)):
-            known[text] = found.ids
-        for word, found in zip(other, self._full([w.decode() for w in other])):
-            other[word] = found
-        return [other[word] if part is None else known[part[0]] + self.tails[part[1]] if part[1] else known[part[0]]
-                for word, part in zip(words, split)]
+        plain = [_plain(w) for w in words]
+        found: list = [None] * len(words)
+        for tokenizer, kind in ((self.letters, True), (self.tokenizer, False)):
+            at = [i for i, p in enumerate(plain) if p is kind]
+            for i, e in zip(at, tokenizer.encode_batch_fast([words[i].decode() for i in at], add_special_tokens=False)):
+                found[i] = e.ids
+        return found
+
+    @staticmethod
+    def _stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The end of each word without the marks after its letters; of any other word, its end."""
+        marks = np.add.reduceat(~(LETTER | C.SPACE)[data], starts, dtype=np.int32)
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(ENDING[data], dtype=np.int32, out=sums[1:])
+        stems = np.where((marks < ends - starts) & (sums[ends] - sums[ends - marks] == marks), ends - marks, ends)
+        del sums
+        # of letters beyond a-z not all are lower case
+        doubt = np.flatnonzero((stems < ends) & np.logical_or.reduceat(data > 127, starts))
+        which, words = C.distinct(data, starts[doubt], stems[doubt])
+        doubt = doubt[~np.array([_plain(w) for w in words], bool)[which]]
+        stems[doubt] = ends[doubt]
+        return stems
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """IDs of all texts, each with its end token, and the offsets of each."""
@@ -96,16 +101,32 @@ class WordEncoder:
         if not ((data[:-1] == 60) & (data[1:] == 124)).any():
             data = C.LOWER[data]
         starts, ends, before = C.words(data, offsets)
-        which, words = C.distinct(data, starts, ends)
-        found, sizes = self.memory(words)
-        length, first = sizes[which], (np.cumsum(sizes) - sizes)[which]
-        found = found[np.repeat(first - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
-        bounds = C.per_document(length, before)
-        bounds = np.r_[0, np.cumsum(bounds + 1)]
-        ids = np.full(bounds[-1], END, np.uint32)
-        target = np.ones(len(ids), bool)
+        if not len(starts):
+            return np.full(len(offsets) - 1, END, np.uint32), np.arange(len(offsets))
+        stems = self._stems(data, starts, ends)
+        which, words = C.distinct(data, starts, stems)
+        tailed = np.flatnonzero(stems < ends)
+        tail, tails = C.distinct(data, stems[tailed], ends[tailed])
+        found, sizes = self.memory(words + tails)
+        # a tail follows its stem
+        shift = np.zeros(len(starts) + 1, np.int64)
+        shift[tailed + 1] = 1
+        np.cumsum(shift, out=shift)
+        parts = np.zeros(len(starts) + len(tailed), np.int64)
+        parts[np.arange(len(starts)) + shift[:-1]] = which
+        parts[tailed + shift[tailed] + 1] = len(words) + tail
+        first, before = np.cumsum(sizes) - sizes, before + shift[before]
+        del starts, ends, stems, words, which, tailed, tail, tails, shift
+        bounds = np.r_[0, np.cumsum(C.per_document(sizes[parts], before) + 1)]
+        target = np.ones(bounds[-1], bool)
         target[bounds[1:] - 1] = False
-        ids[target] = found
+        ids, target = np.full(bounds[-1], END, np.uint32), np.flatnonzero(target)
+        at = 0
+        for low in range(0, len(parts), GATHER):
+            length, begin = sizes[parts[low: low + GATHER]], first[parts[low: low + GATHER]]
+            total = int(length.sum())
+            ids[target[at: at + total]] = found[np.repeat(begin - np.cumsum(length) + length, length) + np.arange(total)]
+            at += total
         return ids, bounds
 
 

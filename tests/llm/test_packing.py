@@ -47,3 +47,36 @@ def test_a_worker_keeps_tables_of_one_operator():
     packing_powers = C.powers(5)
     assert [b.num_rows for b in simhash._word_prints(iter([]))] == [] and closed == [table]
     assert C.own("packing") == {} and (C.powers(5) == packing_powers).all()
+
+
+def test_words_are_remembered_without_their_marks():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    encode = packing.WordEncoder(tokenizers.path("word_bpe_49k.json"))
+    texts = ["harbour, Harbour. élan! élan", "", " ...", "Élan, İx, d'or; x1, éa, <|a"]
+    for some in (texts[:3], texts):
+        raw = [t.encode() for t in some]
+        ids, bounds = encode(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+        for i, text in enumerate(some):
+            want = encode.tokenizer.encode(text, add_special_tokens=False).ids + [packing.END]
+            assert ids[bounds[i]: bounds[i + 1]].tolist() == want
+        if some != texts:
+            assert set(encode.memory.index) == {b"harbour", "élan".encode(), b",", b".", b"!", b"..."}
+
+
+def test_memory_works_out_few_words_at_once():
+    asked = []
+
+    def work(words):
+        asked.append(len(words))
+        return [[len(w)] * len(w) for w in words]
+
+    ids, length = C.Memory(work, 9, 2)(["a", "bb", "ccc", "bb", "", "dddd"])
+    assert asked == [2, 2, 1] and length.tolist() == [1, 2, 3, 2, 0, 4]
+    assert ids.tolist() == [1, 2, 2, 3, 3, 3, 2, 2, 4, 4, 4, 4]
+
+
+def test_powers_go_with_the_operator():
+    C.own("packing")
+    C.powers(5)
+    C.own("simhash")
+    assert "powers" not in C.kept()
